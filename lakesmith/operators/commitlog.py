@@ -68,7 +68,7 @@ def table_stats(
         F.col("version").isNotNull().alias("is_delta"),
         F.col("version").cast("long").alias("version"),
         F.coalesce("num_files", zero).alias("num_files"),
-        F.coalesce(F.least("history_len", F.lit(history_limit).cast("long")), zero).alias("history_len"),
+        F.least(F.coalesce("history_len", zero), F.lit(history_limit).cast("long")).alias("history_len"),
         F.coalesce("size_bytes", zero).cast("long").alias("size_bytes"),
     )
     mean = F.when(
