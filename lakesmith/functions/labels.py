@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ._column import ColumnOrName, as_column
+from ._column import ColumnOrName, as_column, let
 from .text import strip
 
 # Unit names, each 1024 times the one before.
@@ -23,12 +23,6 @@ TRIGGER_LABELS = {
 # Origins that count as manual when the run type says nothing.
 MANUAL_ORIGINS = ("ui", "rest_api", "cli", "operator")
 
-# The doubles nearest to .05, .15, .. and whether one that equals it rounds up:
-# it does when the double lies above the decimal, and for .75 (tie to even).
-_MIDPOINTS = [(2 * k + 1) / 20 for k in range(10)]
-_ROUNDS_UP = [True, False, False, False, True, True, True, True, False, False]
-
-
 def growth_pct(current: ColumnOrName, previous: ColumnOrName) -> Column:
     """Percent change; null when not comparable, 100 when growing from nothing."""
     now = as_column(current).cast("double")
@@ -40,36 +34,56 @@ def growth_pct(current: ColumnOrName, previous: ColumnOrName) -> Column:
     )
 
 
+def _tenths(size: Column) -> Column:
+    """A number of at least 0 as whole tenths: exact binary value, ties to even.
+
+    The fraction after the last whole number is exact, so it can be compared with
+    the double nearest to .05, .15, .. A fraction equal to that double rounds up
+    where the double lies above the decimal, and for .75, the odd one of the two
+    real ties.
+    """
+    whole = F.floor(size)
+    fraction = size - whole.cast("double")
+    digit = F.least(F.floor(fraction * 10.0), F.lit(9))
+    middle = (digit * 2 + 1).cast("double") / 20.0
+    up = (fraction > middle) | ((fraction == middle) & digit.isin(0, 4, 5, 6, 7))
+    return whole * 10 + digit + up.cast("long")
+
+
+def _decimal_text(tenths: Column) -> Column:
+    whole = F.floor(tenths.cast("double") / 10.0).cast("string")
+    return F.concat(whole, F.lit("."), (tenths % 10).cast("string"))
+
+
 def one_decimal(value: ColumnOrName) -> Column:
     """``%.1f`` that rounds the exact binary value, ties to even.
 
     ``format_string`` and ``round`` round the shortest decimal text instead,
     which differs for values such as 2.25 and 0.15.
     """
-    number = as_column(value).cast("double")
-    size = F.abs(number)
-    whole = F.floor(size)
-    fraction = size - whole.cast("double")
-    digit = F.least(F.floor(fraction * 10), F.lit(9)).cast("int")
-    middle = F.element_at(F.array(*map(F.lit, _MIDPOINTS)), digit + 1)
-    tie_up = F.element_at(F.array(*map(F.lit, _ROUNDS_UP)), digit + 1)
-    up = (fraction > middle) | ((fraction == middle) & tie_up)
-    tenths = whole * 10 + digit + up.cast("int")
-    text = F.concat(
-        F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string")
-    )
-    return F.concat(F.when(number < 0, "-").otherwise(""), text)
+    def text(number: Column) -> Column:
+        sign = F.when(number < 0, "-").otherwise("")
+        return F.concat(sign, let(_tenths(F.abs(number)), _decimal_text))
+
+    return let(as_column(value).cast("double"), text)
 
 
 def format_bytes(count: ColumnOrName) -> Column:
+    """Size in the largest unit that keeps it at 1 or more; bytes without a decimal."""
+
+    def text(size: Column) -> Column:
+        power = F.lit(0)
+        for step in range(1, len(BYTE_UNITS)):
+            power = power + (size >= float(1024**step)).cast("int")
+        return let(power, lambda p: in_unit(size, p))
+
+    def in_unit(size: Column, power: Column) -> Column:
+        unit = F.element_at(F.array(*[F.lit(" " + u) for u in BYTE_UNITS]), power + 1)
+        number = let(_tenths(size / F.pow(F.lit(1024.0), power)), _decimal_text)
+        return F.concat(F.when(power == 0, F.floor(size).cast("string")).otherwise(number), unit)
+
     size = F.greatest(as_column(count).cast("double"), F.lit(0.0))
-    text = F.concat(F.floor(size).cast("string"), F.lit(" " + BYTE_UNITS[0]))
-    for power, unit in enumerate(BYTE_UNITS[1:], start=1):
-        step = float(1024**power)
-        text = F.when(size >= step, F.concat(one_decimal(size / step), F.lit(" " + unit))).otherwise(
-            text
-        )
-    return F.when(as_column(count).isNull(), "?").otherwise(text)
+    return F.when(as_column(count).isNull(), "?").otherwise(let(size, text))
 
 
 def format_growth_pct(growth: ColumnOrName) -> Column:

@@ -38,13 +38,28 @@ def bucket_from_uri(uri: ColumnOrName) -> Column:
     return strip(F.substring_index(rest, "/", 1))
 
 
+def has_log_folder(key: ColumnOrName) -> Column:
+    return F.contains(_padded(as_column(key)), F.lit(LOG_FOLDER))
+
+
+def folder_of_log(key: ColumnOrName) -> Column:
+    """What precedes the first log folder of a key; the whole key when it has none."""
+    return F.ltrim(F.substring_index(_padded(as_column(key)), LOG_FOLDER, 1), F.lit("/"))
+
+
+def _padded(key: Column) -> Column:
+    return F.concat(F.lit("/"), F.ltrim(F.coalesce(key, F.lit("")), F.lit("/")))
+
+
 def delta_uri_from_object_key(bucket: ColumnOrName, key: ColumnOrName) -> Column:
     """URI of the table whose log holds the key (up to the first log folder), else null."""
-    padded = F.concat(F.lit("/"), F.ltrim(as_column(key), F.lit("/")))
-    root = F.ltrim(F.substring_index(padded, LOG_FOLDER, 1), F.lit("/"))
+    return F.when(has_log_folder(key), table_uri(bucket, folder_of_log(key)))
+
+
+def table_uri(bucket: ColumnOrName, folder: ColumnOrName) -> Column:
+    """URI of a folder exactly as it is spelled in the key."""
     base = F.concat(F.lit("s3a://"), _strip_slashes(strip(bucket)))
-    uri = F.concat_ws("/", base, F.nullif(root, F.lit("")))
-    return F.when(F.contains(padded, F.lit(LOG_FOLDER)), uri)
+    return F.concat_ws("/", base, F.nullif(as_column(folder), F.lit("")))
 
 
 def uri_to_root_prefix(uri: ColumnOrName, bucket: ColumnOrName) -> Column:
@@ -78,7 +93,9 @@ def is_temp_object_key(key: ColumnOrName) -> Column:
 
 def parent_folder(key: ColumnOrName) -> Column:
     """The part of a key before its last slash, empty at the top."""
-    return F.regexp_replace(as_column(key), "/?[^/]*$", "")
+    key = as_column(key)
+    name = F.substring_index(key, "/", -1)
+    return F.substr(key, F.lit(1), F.char_length(key) - F.char_length(name) - 1)
 
 
 def path_prefixes(path: ColumnOrName) -> Column:

@@ -16,16 +16,16 @@ def table_roots(objects: DataFrame) -> DataFrame:
 
     A key below a log folder makes that folder's parent a table root.
     """
-    found = (
-        objects.select("bucket", paths.delta_uri_from_object_key("bucket", "key").alias("uri"))
-        .filter(F.col("uri").isNotNull())
+    folders = (
+        objects.filter(paths.has_log_folder("key"))
+        .select("bucket", paths.folder_of_log("key").alias("folder"))
         .distinct()
     )
-    return found.select(
-        "bucket",
-        "uri",
-        paths.uri_to_root_prefix("uri", "bucket").alias("root"),
-        paths.is_ephemeral_delta_uri("uri").alias("ephemeral"),
+    uri = paths.table_uri("bucket", "folder")
+    # Never null, or joins on it would repeat the whole expression as a filter of the scan.
+    root = F.coalesce(paths.uri_to_root_prefix(uri, "bucket"), F.lit(""))
+    return folders.select(
+        "bucket", uri.alias("uri"), root.alias("root"), paths.is_ephemeral_delta_uri(uri).alias("ephemeral")
     )
 
 
@@ -44,7 +44,9 @@ def _scoped(objects: DataFrame, roots: DataFrame) -> DataFrame:
     return (
         objects.withColumn("key", F.ltrim("key", F.lit("/")))
         .join(exact, ["bucket", "key"], "left")
-        .withColumn("scope", F.when(F.col("__is_root"), F.col("key")).otherwise(paths.parent_folder("key")))
+        .withColumn(
+            "scope", F.coalesce(F.when(F.col("__is_root"), F.col("key")), paths.parent_folder("key"), F.lit(""))
+        )
         .drop("__is_root")
     )
 
@@ -87,9 +89,10 @@ def classify_objects(objects: DataFrame) -> DataFrame:
 def _folder_usage(objects: DataFrame, roots: DataFrame) -> DataFrame:
     """Counts and bytes per folder, with the folder's flags; few rows per map task."""
     size = F.coalesce("size", F.lit(0)).cast("long")
-    temp = paths.is_temp_object_key("key")
+    temp = F.col("temp")
     per_folder = (
         _scoped(objects, roots)
+        .withColumn("temp", paths.is_temp_object_key("key"))
         .groupBy("bucket", "scope")
         .agg(
             F.count(F.lit(1)).alias("objects"),
