@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ._column import ColumnOrName, as_column
+from ._column import ColumnOrName, as_column, let
 
 # The characters a Unicode-aware strip removes.
 WHITESPACE = (
@@ -71,13 +71,21 @@ def strip_accents(value: ColumnOrName, full: bool = False) -> Column:
     ASCII-only values are returned as they are. ``full`` runs a Pandas UDF for
     the values that still hold other scripts and needs the ``unidecode`` package.
     """
-    text = as_column(value)
-    letters = F.translate(text, "".join(_ONE_TO_ONE) + _DROPPED, "".join(_ONE_TO_ONE.values()))
-    for char, spelling in _LONGER.items():
-        letters = F.replace(letters, F.lit(char), F.lit(spelling))
+
+    def spelled_out(letters: Column) -> Column:
+        longer = letters
+        for char, spelling in _LONGER.items():
+            longer = F.replace(longer, F.lit(char), F.lit(spelling))
+        return F.when(_is_ascii(letters), letters).otherwise(longer)
+
+    def latin(text: Column) -> Column:
+        letters = F.translate(text, "".join(_ONE_TO_ONE) + _DROPPED, "".join(_ONE_TO_ONE.values()))
+        return F.when(_is_ascii(text), text).otherwise(let(letters, spelled_out))
+
+    plain = let(as_column(value), latin)
     if full:
-        letters = F.when(_is_ascii(letters), letters).otherwise(_transliterate()(letters))
-    return F.when(_is_ascii(text), text).otherwise(letters)
+        plain = F.when(_is_ascii(plain), plain).otherwise(_transliterate()(plain))
+    return plain
 
 
 def _is_ascii(text: Column) -> Column:
@@ -97,7 +105,10 @@ def _transliterate():
 
 def null_if_blank(value: ColumnOrName) -> Column:
     text = strip(value)
-    return F.when((text != "") & ~F.upper(text).isin(*ABSENCE_MARKERS), text)
+    # Only short texts are compared, so a long one is not copied in upper case.
+    longest = max(map(len, ABSENCE_MARKERS))
+    marker = (F.char_length(text) <= longest) & F.upper(text).isin(*ABSENCE_MARKERS)
+    return F.when((text != "") & ~marker, text)
 
 
 def normalize_text(value: ColumnOrName, *, upper: bool = True, accents: bool = False) -> Column:

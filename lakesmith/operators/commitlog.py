@@ -15,16 +15,25 @@ HISTORY_CAP = 500
 
 
 def latest_actions(actions: DataFrame) -> DataFrame:
-    """Per data file its last action; an add wins over a remove in the same version."""
-    live = F.col("kind") == "add"
-    last = F.max(
-        F.struct("version", live.alias("live"), "size", "modification_time", "deletion_time")
-    ).alias("last")
+    """Per data file its last action; an add wins over a remove in the same version.
+
+    The order fits one number, so the aggregate is a hash aggregate over plain
+    values, combined before the shuffle.
+    """
+    order = F.col("version") * 2 + (F.col("kind") == "add").cast("int")
+    values = ("size", "modification_time", "deletion_time")
     return (
         actions.filter(F.col("kind").isin("add", "remove"))
+        .withColumn("__order", order)
         .groupBy("table", "path")
-        .agg(last)
-        .select("table", "path", "last.*")
+        .agg(F.max("__order").alias("__last"), *[F.max_by(v, "__order").alias(v) for v in values])
+        .select(
+            "table",
+            "path",
+            F.shiftright("__last", 1).alias("version"),
+            (F.col("__last") % 2 == 1).alias("live"),
+            *values,
+        )
     )
 
 

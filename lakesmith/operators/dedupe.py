@@ -61,7 +61,7 @@ def latest_per_key(
 
 
 def since_condition(df: DataFrame, date_col: str, since: dt.datetime | dt.date | str) -> Column:
-    """Rows with a readable date at or after ``since`` (business wall clock)."""
+    """Holds for dates at or after ``since`` (business wall clock); null when unreadable."""
     field = df.schema[date_col]
     limit = business_time(since)
     keep = wall_clock(quoted(date_col), field.dataType) >= ntz_literal(limit)
@@ -73,13 +73,13 @@ def since_condition(df: DataFrame, date_col: str, since: dt.datetime | dt.date |
         # comparison follows.
         bound = F.lit(limit.isoformat(sep=" ") + " UTC").cast(T.TimestampType())
         keep = (quoted(date_col) >= bound) & keep
-    return F.coalesce(keep, F.lit(False))
+    return keep
 
 
-def _keep_condition(df: DataFrame, date_col: str | None, since) -> Column:
+def _keep_condition(df: DataFrame, date_col: str | None, since) -> Column | None:
     date = _column_named(df, date_col)
     if since is None or date is None:
-        return F.lit(True)
+        return None
     return since_condition(df, date, since)
 
 
@@ -97,7 +97,8 @@ def dedupe(
     before 2023-01-01 and every row whose date is missing. Pass ``since=None``
     to keep all dates.
     """
-    kept = df.filter(_keep_condition(df, date_col, since))
+    keep = _keep_condition(df, date_col, since)
+    kept = df if keep is None else df.filter(keep)
     return latest_per_key(kept, key_cols, version_col, tie_cols)
 
 
@@ -112,8 +113,10 @@ def dedupe_counts(
     Counting needs no order: one aggregate per key with partial sums.
     """
     keys = resolve_columns(df.columns, key_cols)
+    condition = _keep_condition(df, date_col, since)
+    keep = F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))
     per_key = (
-        df.select(*[quoted(k) for k in keys], _keep_condition(df, date_col, since).alias("__keep"))
+        df.select(*[quoted(k) for k in keys], keep.alias("__keep"))
         .groupBy(*[quoted(k) for k in keys])
         .agg(F.count(F.lit(1)).alias("__rows"), F.count_if("__keep").alias("__kept"))
     )

@@ -21,29 +21,30 @@ def _moment(now: dt.datetime | Column) -> Column:
 
 def orphan_files(
     files: DataFrame,
-    live: DataFrame,
+    latest: DataFrame,
     now: dt.datetime | Column,
     *,
     retention_hours: int = RETENTION_HOURS,
-    removed: DataFrame | None = None,
     include_untracked: bool = True,
 ) -> DataFrame:
     """Stored files of tables that are no longer referenced and past the retention.
 
-    ``files``: table, path, size, last_modified. ``live``: table, path.
-    ``removed`` (table, path, deletion_time) holds the log's removals: such a
-    file ages from its removal, others from their last change. Without
+    ``files``: table, path, size, last_modified. ``latest``: the last action per
+    file (see ``latest_actions``), or just the live files as table, path. A
+    removed file ages from its removal, others from their last change. Without
     ``include_untracked`` only removed files are candidates.
     """
     cutoff = _moment(now) - F.make_interval(hours=F.lit(retention_hours))
-    # Both forms of age are at or after the last change, so this reaches the scan.
+    # A removal comes after the last change, so this holds for both and reaches the scan.
     old = files.filter(F.col("last_modified") < cutoff)
-    unreferenced = old.join(live.select("table", "path"), ["table", "path"], "left_anti")
-    if removed is None:
-        return unreferenced
-    times = removed.select("table", "path", F.col("deletion_time").alias("__removed"))
-    joined = unreferenced.join(times, ["table", "path"], "left" if include_untracked else "inner")
-    return joined.filter(F.coalesce(F.col("__removed") < cutoff, F.lit(True))).drop("__removed")
+    if "live" not in latest.columns:
+        return old.join(latest.select("table", "path"), ["table", "path"], "left_anti")
+    states = latest.select(
+        "table", "path", F.col("live").alias("__live"), F.col("deletion_time").alias("__removed")
+    )
+    tracked = old.join(states, ["table", "path"], "left" if include_untracked else "inner")
+    unused = ~F.coalesce("__live", F.lit(False)) & F.coalesce(F.col("__removed") < cutoff, F.lit(True))
+    return tracked.filter(unused).drop("__live", "__removed")
 
 
 def orphan_counts(orphans: DataFrame) -> DataFrame:

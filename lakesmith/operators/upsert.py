@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import strip
 from .align import align_column_case, align_to_table, quoted, resolve_columns
 
 # Rows that cannot match are dealt to this many groups instead of one.
@@ -20,8 +22,6 @@ def partition_values(source: DataFrame, partition_col: str) -> DataFrame:
     ``text`` is the trimmed form. A value is safe when its text holds letters,
     digits, ``-`` and ``_`` only.
     """
-    from ..functions.text import strip
-
     column = resolve_columns(source.columns, [partition_col])[0]
     text = strip(F.col("value").cast("string"))
     return (
@@ -36,7 +36,7 @@ def partition_values(source: DataFrame, partition_col: str) -> DataFrame:
     )
 
 
-def partition_predicate(source: DataFrame, partition_col: str, max_listed: int = 1000) -> "Scope":
+def partition_predicate(source: DataFrame, partition_col: str, max_listed: int = 1000) -> Scope:
     """Which target rows an upsert with a partition column may match.
 
     Only rows of the partitions the source mentions can match; with an unsafe
@@ -98,12 +98,13 @@ class Scope:
 def _spread_key(df: DataFrame, can_match: Column) -> Column:
     """0 for rows that can match; others get a hash of the row, which has no partner.
 
-    Without it all rows with a NULL key would meet in one task of the join.
+    Without it all rows with a NULL key would meet in one task of the join. The
+    hash depends on the row alone, so a task that runs again deals alike.
     """
     hashable = [
         quoted(f.name)
         for f in df.schema
-        if not isinstance(f.dataType, (T.MapType, T.VariantType)) and not f.name.startswith("__")
+        if not isinstance(f.dataType, (T.MapType, T.VariantType))
     ]
     return F.when(can_match, 0).otherwise(F.pmod(F.xxhash64(*hashable), F.lit(_SPREAD)) + 1)
 
@@ -157,33 +158,30 @@ def upsert(
 
     shared = [f for f in target.schema if f.name in source.columns]
     source = source.select(*[quoted(f.name).cast(f.dataType).alias(f.name) for f in shared])
-    key_names = [f"__key{i}" for i in range(len(keys))]
-
-    def keyed(df: DataFrame, can_match: Column) -> DataFrame:
-        for name in keys:
-            can_match = can_match & quoted(name).isNotNull()
-        return df.withColumns(
-            {
-                **{alias: quoted(k) for alias, k in zip(key_names, keys)},
-                "__spread": _spread_key(df, can_match),
-            }
-        )
-
-    on = [*key_names, "__spread"]
-    old = keyed(scope.mark(target, "__in_scope"), F.col("__in_scope"))
-    new = keyed(source, F.lit(True))
-    matchable = new.filter(F.col("__spread") == 0)
+    aliases = {f"__key{i}": quoted(k) for i, k in enumerate(keys)}
+    has_key = reduce(lambda a, b: a & b, [quoted(k).isNotNull() for k in keys])
+    on = [*aliases, "__spread"]
+
+    old = scope.mark(target, "__in_scope")
+    can_match = has_key & F.col("__in_scope")
+    old_rows = old.withColumns({**aliases, "__spread": _spread_key(target, can_match)})
+    new_rows = source.withColumns({**aliases, "__spread": _spread_key(source, has_key)})
+    # Only columns of the keys are read for these two.
+    old_keys = old.filter(can_match).select(*[c.alias(n) for n, c in aliases.items()])
+    new_keys = source.filter(has_key).select(*[c.alias(n) for n, c in aliases.items()])
     wide = len(shared) < len(target.columns)
 
     if target_keys_unique and not wide:
-        kept = old.join(matchable.select(*on), on, "left_anti")
-        return kept.select(*target.columns).unionByName(source)
+        kept = old_rows.join(new_keys.withColumn("__spread", F.lit(0)), on, "left_anti")
+        return kept.select(*[quoted(c) for c in target.columns]).unionByName(source)
 
-    fresh = matchable.select(
-        *on, F.struct(*[quoted(f.name) for f in shared]).alias("__new")
+    fresh = source.filter(has_key).select(
+        *[c.alias(n) for n, c in aliases.items()],
+        F.lit(0).alias("__spread"),
+        F.struct(*[quoted(f.name) for f in shared]).alias("__new"),
     )
     in_source = {f.name for f in shared}
-    updated = old.join(fresh, on, "left").select(
+    updated = old_rows.join(fresh, on, "left").select(
         *[
             F.when(F.col("__new").isNull(), quoted(f.name))
             .otherwise(F.col("__new").getField(f.name))
@@ -193,11 +191,11 @@ def upsert(
             for f in target.schema
         ]
     )
-    taken = (
-        old.select(*on).filter(F.col("__spread") == 0).join(matchable.select(*on), on, "left_semi").distinct()
+    taken = old_keys.join(new_keys, list(aliases), "left_semi").distinct()
+    inserted = new_rows.join(taken.withColumn("__spread", F.lit(0)), on, "left_anti")
+    return updated.unionByName(
+        inserted.select(*[quoted(c) for c in source.columns]), allowMissingColumns=True
     )
-    inserted = new.join(taken, on, "left_anti").select(*source.columns)
-    return updated.unionByName(inserted, allowMissingColumns=True)
 
 
 def replace_slice(

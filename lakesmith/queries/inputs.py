@@ -44,13 +44,13 @@ INPUTS = {
                CAST(l_quantity AS BIGINT) * 1000 + l_linenumber AS size,
                l_shipdate AS last_modified
         FROM {lineitem}""",
-    # Log actions of one table per supplier; a commit is an order.
+    # Log actions of one table per supplier; a commit is an order and names a file once per kind.
     "file_actions": """
         SELECT 's3a://bronze/tb_' || l_suppkey AS tbl, l_orderkey AS version,
                CASE WHEN l_returnflag = 'R' THEN 'remove' ELSE 'add' END AS kind,
                'f' || (l_partkey % 500) || '.parquet' AS path,
-               CAST(l_quantity AS BIGINT) AS size, l_shipdate AS ts
-        FROM {lineitem}""",
+               max(CAST(l_quantity AS BIGINT)) AS size, max(l_shipdate) AS ts
+        FROM {lineitem} GROUP BY 1, 2, 3, 4""",
     "commit_actions": """
         SELECT DISTINCT tbl, version, 'commit' AS kind,
                CASE WHEN 1 = 0 THEN path END AS path, CASE WHEN 1 = 0 THEN size END AS size,

@@ -85,10 +85,9 @@ def _actions(spark, sf):
     )
 
 
-# One file may occur several times in one version: adds win, then the larger action.
 _LAST_ACTION = """
     SELECT tbl, path, version, kind = 'add' AS live, size, ts FROM {file_actions}
-    QUALIFY row_number() OVER (PARTITION BY tbl, path ORDER BY version DESC, live DESC, size DESC, ts DESC) = 1"""
+    QUALIFY row_number() OVER (PARTITION BY tbl, path ORDER BY version DESC, live DESC) = 1"""
 
 
 def live_files(spark, sf):
@@ -243,9 +242,7 @@ def orphan_files(spark, sf):
     files = load(spark, sf, "stored_files").select(
         F.col("tbl").alias("table"), "path", "size", F.col("ts").alias("last_modified")
     )
-    return maintain.orphan_files(
-        files, commitlog.live_files(actions), ntz_literal(_NOW), removed=commitlog.tombstones(actions)
-    )
+    return maintain.orphan_files(files, commitlog.latest_actions(actions), ntz_literal(_NOW))
 
 
 _CUTOFF = f"TIMESTAMP '{_NOW}' - INTERVAL '168' HOUR"

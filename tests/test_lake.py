@@ -434,9 +434,13 @@ def test_orphans(spark):
     plain = maintain.orphan_files(files, live, now)
     assert rows(plain, "path") == [("lost",), ("removed_long_ago",), ("removed_now",)]
     assert rows(maintain.orphan_counts(plain)) == [("t", 3, 26)]
-    aged = maintain.orphan_files(files, live, now, removed=removed)
+    latest = live.select("table", "path", F.lit(True).alias("live"), F.lit(None).alias("deletion_time")).unionByName(
+        removed.withColumn("live", F.lit(False))
+    )
+    aged = maintain.orphan_files(files, latest, now)
     assert rows(aged, "path") == [("lost",), ("removed_long_ago",)]
-    strict = maintain.orphan_files(files, live, now, removed=removed, include_untracked=False)
+    assert aged.columns == files.columns
+    strict = maintain.orphan_files(files, latest, now, include_untracked=False)
     assert rows(strict, "path") == [("removed_long_ago",)]
 
 
