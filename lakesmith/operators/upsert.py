@@ -109,6 +109,15 @@ def _spread_key(df: DataFrame, can_match: Column) -> Column:
     return F.when(can_match, 0).otherwise(F.pmod(F.xxhash64(*hashable), F.lit(_SPREAD)) + 1)
 
 
+def _spread_zero(keys: Sequence[str]) -> Column:
+    """0 on the side whose rows all can match.
+
+    A literal would turn the equality into a plain condition, and the rows would
+    be dealt by key alone.
+    """
+    return F.pmod(F.hash(*[quoted(k) for k in keys]), F.lit(1))
+
+
 def duplicate_keys(source: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys without NULLs that occur more than once in the source."""
     names = resolve_columns(source.columns, keys)
@@ -172,12 +181,12 @@ def upsert(
     wide = len(shared) < len(target.columns)
 
     if target_keys_unique and not wide:
-        kept = old_rows.join(new_keys.withColumn("__spread", F.lit(0)), on, "left_anti")
+        kept = old_rows.join(new_keys.withColumn("__spread", _spread_zero(aliases)), on, "left_anti")
         return kept.select(*[quoted(c) for c in target.columns]).unionByName(source)
 
     fresh = source.filter(has_key).select(
         *[c.alias(n) for n, c in aliases.items()],
-        F.lit(0).alias("__spread"),
+        _spread_zero(keys).alias("__spread"),
         F.struct(*[quoted(f.name) for f in shared]).alias("__new"),
     )
     in_source = {f.name for f in shared}
@@ -192,7 +201,7 @@ def upsert(
         ]
     )
     taken = old_keys.join(new_keys, list(aliases), "left_semi").distinct()
-    inserted = new_rows.join(taken.withColumn("__spread", F.lit(0)), on, "left_anti")
+    inserted = new_rows.join(taken.withColumn("__spread", _spread_zero(aliases)), on, "left_anti")
     return updated.unionByName(
         inserted.select(*[quoted(c) for c in source.columns]), allowMissingColumns=True
     )
