@@ -2,13 +2,13 @@
 
 Business timestamps are wall clock in America/Sao_Paulo without a zone
 (``TIMESTAMP_NTZ``). Zoned timestamps (``TIMESTAMP``) are instants and are
-converted. All conversions name both zones, except :func:`utc_instant`, which
-needs the session zone to be UTC.
+converted. No result depends on the session zone.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
@@ -83,7 +83,9 @@ def as_sp(ts: ColumnOrName, zoned: bool = False) -> Column:
     ts = as_column(ts)
     if not zoned:
         return ts.cast(T.TimestampNTZType())
-    return F.convert_timezone(None, F.lit(BUSINESS_ZONE), ts)
+    epoch = F.lit("1970-01-01").cast(T.TimestampNTZType())
+    utc_clock = F.timestamp_add("MICROSECOND", F.unix_micros(ts), epoch)
+    return F.convert_timezone(F.lit("UTC"), F.lit(BUSINESS_ZONE), utc_clock)
 
 
 def sp_to_lake_ntz(ts: ColumnOrName, zoned: bool = True) -> Column:
@@ -97,8 +99,8 @@ def sp_to_utc(ts: ColumnOrName) -> Column:
 
 
 def utc_instant(ts: ColumnOrName) -> Column:
-    """Business wall clock to a zoned timestamp; the session zone must be UTC."""
-    return sp_to_utc(ts).cast(T.TimestampType())
+    """Business wall clock to a zoned timestamp, whatever the session zone is."""
+    return F.concat(sp_to_utc(ts).cast("string"), F.lit(" UTC")).cast(T.TimestampType())
 
 
 def now_sp() -> Column:
@@ -136,3 +138,35 @@ def business_time(value: dt.datetime | dt.date | str) -> dt.datetime:
 
 def ntz_literal(value: dt.datetime) -> Column:
     return F.lit(value.isoformat(sep=" ")).cast(T.TimestampNTZType())
+
+
+def business_range(
+    column: ColumnOrName,
+    data_type: T.DataType,
+    start: dt.datetime | None = None,
+    end: dt.datetime | None = None,
+) -> Column:
+    """Holds for business times in the closed range; null when unreadable.
+
+    A column without a zone is compared as it is, so the bounds reach the file
+    scan. For instants two wider bounds do: the business zone lies at most four
+    hours west of UTC, so an instant is never before its own wall clock read as
+    UTC, nor more than four hours after it.
+    """
+    col = as_column(column)
+    clock = wall_clock(col, data_type)
+    instants = isinstance(data_type, T.TimestampType)
+    terms = []
+    if start is not None:
+        if instants:
+            terms.append(col >= _utc_literal(start))
+        terms.append(clock >= ntz_literal(start))
+    if end is not None:
+        if instants:
+            terms.append(col <= _utc_literal(end + dt.timedelta(hours=4)))
+        terms.append(clock <= ntz_literal(end))
+    return reduce(lambda a, b: a & b, terms)
+
+
+def _utc_literal(value: dt.datetime) -> Column:
+    return F.lit(value.replace(tzinfo=dt.timezone.utc))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dates import business_time, ntz_literal, wall_clock
+from ..functions.dates import business_range, business_time
 from .align import quoted, resolve_columns
 
 
@@ -62,18 +62,7 @@ def latest_per_key(
 
 def since_condition(df: DataFrame, date_col: str, since: dt.datetime | dt.date | str) -> Column:
     """Holds for dates at or after ``since`` (business wall clock); null when unreadable."""
-    field = df.schema[date_col]
-    limit = business_time(since)
-    keep = wall_clock(quoted(date_col), field.dataType) >= ntz_literal(limit)
-    if isinstance(field.dataType, T.TimestampNTZType):
-        keep = quoted(date_col) >= ntz_literal(limit)
-    elif isinstance(field.dataType, T.TimestampType):
-        # The business zone lies west of UTC, so an instant is never before its own
-        # wall clock read as UTC. This bound reaches the file scan; the exact
-        # comparison follows.
-        bound = F.lit(limit.isoformat(sep=" ") + " UTC").cast(T.TimestampType())
-        keep = (quoted(date_col) >= bound) & keep
-    return keep
+    return business_range(quoted(date_col), df.schema[date_col].dataType, business_time(since))
 
 
 def _keep_condition(df: DataFrame, date_col: str | None, since) -> Column | None:

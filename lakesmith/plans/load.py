@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dates import ntz_literal, wall_clock
+from ..functions.dates import business_range, wall_clock
 from ..operators.align import quoted
 from ..operators.cursor import cursor_windows, max_ts, run_state
 from ..operators.dedupe import latest_per_key
@@ -19,9 +19,8 @@ from ..sources.storage import glob_exists
 
 
 def in_window(df: DataFrame, column: str, from_ts: dt.datetime, to_ts: dt.datetime) -> DataFrame:
-    """Rows whose business time lies in the closed window; a zone-free column is pushed to the scan."""
-    clock = wall_clock(quoted(column), df.schema[column].dataType)
-    return df.filter(clock.between(ntz_literal(from_ts), ntz_literal(to_ts)))
+    """Rows whose business time lies in the closed window; the bounds reach the scan."""
+    return df.filter(business_range(quoted(column), df.schema[column].dataType, from_ts, to_ts))
 
 
 def incremental_load(

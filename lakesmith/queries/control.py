@@ -7,10 +7,12 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..functions.dates import ntz_literal
-from ..operators import cursor, report
-from ..plans.load import window_filter
+from ..operators import align, cursor, report
+from ..operators.health import with_growth
+from ..plans.load import incremental_load, window_filter
 from ..session import scratch_dir
 from ..sources.snapshots import latest_snapshot, save_snapshot
+from ..sources.tables import open_table
 from .inputs import load, sql
 
 _NOW = dt.datetime(2024, 1, 31)
@@ -205,8 +207,6 @@ GROWTH_SUMMARY = """
 
 def snapshot_growth(spark, sf):
     """Balances per nation against a stored snapshot of the suppliers."""
-    from ..operators.health import with_growth
-
     path = scratch_dir(spark, "snapshot")
     cents = lambda c: F.sum(F.round(F.col(c) * 100).cast("long")).alias("total_bytes")
     before = load(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(cents("s_acctbal"))
@@ -225,7 +225,44 @@ SNAPSHOT_GROWTH = """
                 ELSE (CAST(total_bytes AS DOUBLE) - CAST(b AS DOUBLE)) / CAST(b AS DOUBLE) * 100.0 END AS growth_pct
     FROM c LEFT JOIN p ON c.nation = p.nation"""
 
+
+
+def load_cycle(spark, sf):
+    """Two incremental loads, the second continuing from the first one's watermark."""
+    path, log = scratch_dir(spark, "cycle"), scratch_dir(spark, "cycle-log")
+    for day in (10, 12):
+        incremental_load(
+            spark, load(spark, sf, "events"), path, project="p", table_name="events", keys=["user_id", "event_type"],
+            watermark_col="ts", run_log=log, now=dt.datetime(2024, 1, day),
+        )
+    return open_table(spark, path).select("user_id", "event_type", "ts", "event_id", "value")
+
+
+LOAD_CYCLE = """
+    WITH bounds AS (
+      SELECT TIMESTAMP '2024-01-10' - INTERVAL '25' HOUR AS lo, TIMESTAMP '2024-01-10' AS mid,
+             TIMESTAMP '2024-01-12' AS hi)
+    SELECT user_id, event_type, ts, event_id, value FROM events, bounds
+    WHERE ts BETWEEN lo AND hi
+    QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC) = 1"""
+
+
+def business_timestamps(spark, sf):
+    """Zoned instants become business wall clock, untyped columns text."""
+    df = load(spark, sf, "events").select(
+        "event_id", "ts", F.lit(None).alias("untyped"),
+        F.concat(F.col("ts").cast("string"), F.lit(" UTC")).cast("timestamp").alias("instant"),
+    )
+    return align.coerce_void_fields(align.business_timestamps_to_ntz(df))
+
+
+BUSINESS_TIMESTAMPS = """
+    SELECT event_id, ts, timezone('America/Sao_Paulo', timezone('UTC', ts)) AS instant,
+           CAST(NULL AS VARCHAR) AS untyped FROM events"""
+
 QUERIES = {
+    "load_cycle": (load_cycle, LOAD_CYCLE),
+    "business_timestamps": (business_timestamps, BUSINESS_TIMESTAMPS),
     "last_watermark": (last_watermark, sql(_LAST)),
     "cursor_windows": (cursor_windows, sql(_WINDOWS)),
     "load_window": (load_window, sql(LOAD_WINDOW)),

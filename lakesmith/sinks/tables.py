@@ -32,15 +32,24 @@ def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
+def _balanced(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Rows of a partition brought together, so that not every task writes a file to each.
+
+    AQE splits a large partition over several tasks and joins small ones.
+    """
+    return df.hint("rebalance", *partition_by) if partition_by else df
+
+
 def _write_staged(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     staged = staging_path(path)
-    df.write.partitionBy(*partition_by).parquet(staged)
+    _balanced(df, partition_by).write.partitionBy(*partition_by).parquet(staged)
     swap(df.sparkSession, staged, path)
 
 
 def _write_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
     """Replace exactly the partitions that occur in the frame."""
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    rows = _balanced(df, partition_by)
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(*partition_by).parquet(path)
     df.sparkSession.catalog.refreshByPath(path)
 
@@ -271,7 +280,6 @@ def compact(spark: SparkSession, path: str, *, target_size: int = 128 * 1024 * 1
         "spark__sql__adaptive__advisoryPartitionSizeInBytes": str(target_size),
     }
     if parts:
-        table = table.hint("rebalance", *parts)
         packing = {"spark__sql__adaptive__advisoryPartitionSizeInBytes": str(target_size)}
     with settings(spark, **packing):
         _write_staged(table, path, parts)

@@ -80,7 +80,9 @@ def list_objects(
 
     Folders are opened level by level and dealt out again after each of the
     first ``split_depth`` levels, so one large bucket is listed by many tasks;
-    each task then walks its folders and emits batches.
+    each task then walks its folders and emits batches. A single folder is listed
+    by one task: for buckets with very large flat folders use the inventory
+    report of the storage (:func:`inventory_from`).
     """
     tasks = tasks or spark.sparkContext.defaultParallelism * 4
     units = spark.createDataFrame([(b, base, "", 0, None, True) for b, base in buckets], _UNIT_SCHEMA)

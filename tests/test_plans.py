@@ -29,7 +29,7 @@ def shuffled(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-WRITERS = {"write_merge", "write_slice", "write_append", "write_dedupe", "compact", "upsert_stream", "growth"}
+WRITERS = {"write_merge", "write_slice", "write_append", "write_dedupe", "compact", "upsert_stream", "growth", "load_cycle"}
 
 
 @pytest.mark.parametrize("name", sorted(set(entry_points.queries()) - WRITERS))
@@ -59,6 +59,17 @@ def test_window_of_a_load_reaches_the_scan(spark):
     assert "GreaterThanOrEqual(ts" in pushed and "LessThanOrEqual(ts" in pushed
 
 
+def test_window_over_instants_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    hours = spark.range(48).select(F.timestamp_seconds(F.col("id") * 3600).alias("ts"), "id")
+    hours.write.parquet(path)
+    start, end = dt.datetime(1970, 1, 1, 3), dt.datetime(1970, 1, 1, 5)
+    found = in_window(spark.read.parquet(path), "ts", start, end)
+    assert sorted(r["id"] for r in found.collect()) == [6, 7, 8]
+    pushed = re.search(r"PushedFilters: \[([^\]]*)\]", plan(found)).group(1)
+    assert "GreaterThanOrEqual(ts" in pushed and "LessThanOrEqual(ts" in pushed
+
+
 def test_counts_are_combined_before_the_shuffle(spark):
     lines = load(spark, SMALL, "lineitem")
     for df in (dedupe_counts(lines, ["l_orderkey"], None), key_duplicates(lines, ["l_orderkey"])):
