@@ -55,7 +55,7 @@ def test_since_filter_reaches_the_scan(spark):
 
 def test_window_of_a_load_reaches_the_scan(spark):
     text = plan(in_window(load(spark, SMALL, "events"), "ts", dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 3)))
-    pushed = re.search(r"PushedFilters: \[([^\]]*)\]", text).group(1)
+    pushed = re.search(r"PushedFilters: \[(.*)", text).group(1)
     assert "GreaterThanOrEqual(ts" in pushed and "LessThanOrEqual(ts" in pushed
 
 
@@ -66,7 +66,7 @@ def test_window_over_instants_reaches_the_scan(spark, tmp_path):
     start, end = dt.datetime(1970, 1, 1, 3), dt.datetime(1970, 1, 1, 5)
     found = in_window(spark.read.parquet(path), "ts", start, end)
     assert sorted(r["id"] for r in found.collect()) == [6, 7, 8]
-    pushed = re.search(r"PushedFilters: \[([^\]]*)\]", plan(found)).group(1)
+    pushed = re.search(r"PushedFilters: \[(.*)", plan(found)).group(1)
     assert "GreaterThanOrEqual(ts" in pushed and "LessThanOrEqual(ts" in pushed
 
 
