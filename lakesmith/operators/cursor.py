@@ -44,7 +44,7 @@ def table_config(config: DataFrame, table_name: str, project: str | None = None)
     """The enabled configuration row of a table; an error when there is none."""
     row = enabled_tables(config, project).filter(F.col("table_name") == table_name).limit(1)
     if row.isEmpty():
-        raise ValueError(f"Tabela habilitada não encontrada: {table_name}.")
+        raise ValueError(f"no enabled configuration of table {table_name}")
     return row
 
 

@@ -16,6 +16,20 @@ SETTINGS = {
 }
 
 
+# Shuffle bytes per task: several tasks fit an executor's memory, and tasks stay many.
+_TASK_BYTES = 256 * 1024 * 1024
+
+
+def sized_for(shuffle_bytes: int) -> dict[str, str]:
+    """Settings for jobs that shuffle about this much; AQE joins partitions that turn out small."""
+    partitions = max(8, -(-shuffle_bytes // _TASK_BYTES))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(_TASK_BYTES),
+        "spark.sql.files.maxPartitionBytes": str(_TASK_BYTES),
+    }
+
+
 def build_session(app: str = "lakesmith", master: str | None = None, **extra: str) -> SparkSession:
     """A session with the settings the operators are written for (zone UTC, AQE on)."""
     builder = SparkSession.builder.appName(app)

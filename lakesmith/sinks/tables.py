@@ -19,7 +19,7 @@ from ..operators import align
 from ..operators.align import quoted, resolve_columns
 from ..operators.dedupe import dedupe, dedupe_counts
 from ..operators.upsert import Scope, partition_predicate, partition_values, replace_slice, upsert
-from ..sources.storage import partition_columns, staging_path, swap
+from ..sources.storage import partition_columns, staged_copy, staging_path, swap
 from ..sources.tables import open_table, settings
 
 
@@ -163,15 +163,16 @@ def merge(
     partition_col: str | None = None,
     void_strategy: str = "skip",
     target_keys_unique: bool = False,
+    stage_source: bool = True,
     fmt: str = "parquet",
 ) -> int:
     """Idempotent upsert into a table; returns the source's rows.
 
     An absent table is created from the frame as it is (repeated keys included),
     partitioned by ``partition_col``. In a table partitioned by that column only
-    the partitions the source mentions are read and written. The frame is
-    evaluated several times; stage it first when that is costly or not
-    repeatable.
+    the partitions the source mentions are read and written. The frame is read
+    several times and therefore written next to the table first; pass
+    ``stage_source=False`` for one that is cheap and always yields the same rows.
     """
     spark = df.sparkSession
     if df.isEmpty():
@@ -184,27 +185,28 @@ def merge(
         _write_all(rows, path, fmt, parts)
         return seen.get["rows"]
 
-    source = align.align_column_case(source, target.columns)
-    required = [*merge_keys, *([partition_col] if partition_col else [])]
-    source = align.drop_void_columns(
-        source, align.void_columns(target.schema), required=required, strategy=void_strategy
-    )
-    target = align.coerce_void_fields(target)
-    count = _checked_source(source, merge_keys)
-    scope = partition_predicate(source, partition_col) if partition_col else Scope(None, None, None)
-    if fmt != "parquet":
-        _merge_delta(spark, source, path, merge_keys, scope)
-        return count
-
-    parts = partition_columns(spark, path)
-    if _only_listed_partitions(source, scope, parts):
-        column = resolve_columns(target.columns, [partition_col])[0]
-        touched = target.filter(quoted(column).isin(*scope.listed))
-        result = upsert(touched, source, merge_keys, target_keys_unique=target_keys_unique)
-        _write_partitions(result, path, parts)
-    else:
-        result = upsert(target, source, merge_keys, scope=scope, target_keys_unique=target_keys_unique)
-        _write_staged(result, path, parts)
+    with staged_copy(source, path, stage_source) as source:
+        source = align.align_column_case(source, target.columns)
+        required = [*merge_keys, *([partition_col] if partition_col else [])]
+        source = align.drop_void_columns(
+            source, align.void_columns(target.schema), required=required, strategy=void_strategy
+        )
+        target = align.coerce_void_fields(target)
+        count = _checked_source(source, merge_keys)
+        scope = partition_predicate(source, partition_col) if partition_col else Scope(None, None, None)
+        if fmt != "parquet":
+            _merge_delta(spark, source, path, merge_keys, scope)
+            return count
+
+        parts = partition_columns(spark, path)
+        if _only_listed_partitions(source, scope, parts):
+            column = resolve_columns(target.columns, [partition_col])[0]
+            touched = target.filter(quoted(column).isin(*scope.listed))
+            result = upsert(touched, source, merge_keys, target_keys_unique=target_keys_unique)
+            _write_partitions(result, path, parts)
+        else:
+            result = upsert(target, source, merge_keys, scope=scope, target_keys_unique=target_keys_unique)
+            _write_staged(result, path, parts)
     return count
 
 
@@ -250,7 +252,7 @@ def dedupe_table(
     """
     table = open_table(spark, path, fmt)
     if table is None:
-        raise RuntimeError(f"Tabela Delta ausente: {path}")
+        raise RuntimeError(f"table not found: {path}")
     counts = dedupe_counts(table, key_cols, date_col, since).first().asDict()
     if counts["removed"] and not dry_run:
         parts = partition_columns(spark, path) if fmt == "parquet" else []

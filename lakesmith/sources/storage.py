@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _open(spark: SparkSession, path: str):
@@ -29,8 +31,29 @@ def partition_columns(spark: SparkSession, path: str) -> list[str]:
         columns.append(found[0].getPath().getName().split("=", 1)[0])
 
 
-def staging_path(path: str) -> str:
-    return f"{path.rstrip('/')}__staged-{uuid.uuid4().hex}"
+def staging_path(path: str, kind: str = "staged") -> str:
+    """A new folder next to a table, so on the same shared storage."""
+    return f"{path.rstrip('/')}__{kind}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def staged_copy(df: DataFrame, path: str, staged: bool = True) -> Iterator[DataFrame]:
+    """A frame written next to a table for the time of a block, and read back.
+
+    It is then evaluated once however often it is read, and every read sees the
+    same rows. ``staged=False`` passes the frame through.
+    """
+    if not staged:
+        yield df
+        return
+    spark = df.sparkSession
+    copy = staging_path(path, "source")
+    try:
+        df.write.parquet(copy)
+        yield spark.read.schema(df.schema).parquet(copy)
+    finally:
+        files, folder = _open(spark, copy)
+        files.delete(folder, True)
 
 
 def swap(spark: SparkSession, staged: str, path: str) -> None:

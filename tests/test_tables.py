@@ -299,6 +299,18 @@ def test_merge_cycle(spark, tmp_path):
     assert rows(open_table(spark, path)) == [(1, "n"), (1, "n"), (2, "b"), (3, "c"), (None, "x"), (None, "y")]
 
 
+def test_merge_evaluates_its_source_once(spark, tmp_path):
+    """A source that differs on every evaluation still merges as one set of rows."""
+    path = str(tmp_path / "t")
+    merge(spark.range(100).select("id", F.lit(0.0).alias("v")), path, merge_keys=["id"])
+    unstable = spark.range(200).select((F.col("id") + F.floor(F.rand() * 3) * 200).alias("id"), F.rand().alias("v"))
+    assert merge(unstable, path, merge_keys=["id"]) == 200
+    table = open_table(spark, path)
+    assert table.filter("v > 0").count() == 200
+    assert table.select("id").distinct().count() == table.count()
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
 @pytest.mark.parametrize("extra", [[], [(9, " p", "blank")]])
 def test_merge_in_partitions(spark, tmp_path, extra):
     path = str(tmp_path / "t")
