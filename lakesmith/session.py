@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The JVM does not compile methods above 8000 bytes: longer generated stages run
+    # faster as separate operators than interpreted as one method.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -47,39 +47,36 @@ def _decoded(path: Column) -> Column:
     return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
 
 
-def _millis(value: Column) -> Column:
-    return F.timestamp_millis(value)
-
-
-def _actions(df: DataFrame) -> DataFrame:
-    none = F.lit(None)
-    add = F.when(
-        F.col("add").isNotNull(),
-        F.struct(
-            F.lit("add").alias("kind"), _decoded(F.col("add.path")).alias("path"), F.col("add.size").alias("size"),
-            _millis(F.col("add.modificationTime")).alias("modification_time"),
-            none.cast("timestamp").alias("deletion_time"),
-        ),
-    )
-    remove = F.when(
-        F.col("remove").isNotNull(),
-        F.struct(
-            F.lit("remove").alias("kind"), _decoded(F.col("remove.path")).alias("path"),
-            F.col("remove.size").alias("size"), none.cast("timestamp").alias("modification_time"),
-            _millis(F.col("remove.deletionTimestamp")).alias("deletion_time"),
-        ),
-    )
-    return df.select("table", "version", F.coalesce(add, remove).alias("a")).filter("a IS NOT NULL").select(
-        "table", "version", "a.*"
+def _action(kind: Column, path: Column, size: Column, changed: Column, removed: Column) -> Column:
+    return F.struct(
+        kind.alias("kind"),
+        path.alias("path"),
+        size.alias("size"),
+        F.timestamp_millis(changed).alias("modification_time"),
+        F.timestamp_millis(removed).alias("deletion_time"),
     )
 
 
+def _file_action() -> Column:
+    """The add or remove of a log line, null for other lines."""
+    add, remove, none = F.col("add"), F.col("remove"), F.lit(None).cast("long")
+    added = _action(F.lit("add"), _decoded(add["path"]), add["size"], add["modificationTime"], none)
+    removed = _action(F.lit("remove"), _decoded(remove["path"]), remove["size"], none, remove["deletionTimestamp"])
+    return F.when(add.isNotNull(), added).when(remove.isNotNull(), removed)
+
+
+def _rows(df: DataFrame, *actions: Column) -> DataFrame:
+    """One row per action that is not null."""
+    found = F.filter(F.array(*actions), lambda a: a.isNotNull())
+    return df.select("table", "version", F.explode(found).alias("a")).select("table", "version", "a.*")
+
+
 def read_log_actions(spark: SparkSession, tables: Sequence[str]) -> DataFrame:
     """``(table, version, kind, path, size, modification_time, deletion_time)``.
 
     State up to a table's last checkpoint comes from that checkpoint, later
-    actions from the commits; every retained commit also yields a row of kind
-    ``commit``, which the history length counts.
+    actions from the commits; every retained commit also yields rows of kind
+    ``commit``, whose versions the history length counts.
     """
     roots = [t.rstrip("/") for t in tables]
     with ThreadPoolExecutor(16) as pool:
@@ -103,26 +100,19 @@ def read_log_actions(spark: SparkSession, tables: Sequence[str]) -> DataFrame:
         found = found.filter(F.when(version_1, True).otherwise(F.raise_error(message).cast("boolean")))
         last = found.groupBy("table").agg(F.max("version").alias("__last"))
         state = found.join(last, "table").filter(F.col("version") == F.col("__last"))
-        parts.append(_actions(state))
+        parts.append(_rows(state, _file_action()))
     if logs:
         commits = _table_and_version(
             spark.read.schema(_COMMIT_SCHEMA).json([f"{r}/_delta_log/*.json" for r in logs])
         ).filter(F.col("file_name").rlike(r"^\d{20}\.json\z"))
-        later = commits
+        later = F.lit(True)
         if last is not None:
-            later = commits.join(last, "table", "left").filter(
-                F.col("__last").isNull() | (F.col("version") > F.col("__last"))
-            )
-        parts.append(_actions(later))
-        versions = commits.select("table", "version").distinct()
-        parts.append(
-            versions.select(
-                "table", "version", F.lit("commit").alias("kind"), F.lit(None).cast("string").alias("path"),
-                F.lit(None).cast("long").alias("size"),
-                F.lit(None).cast("timestamp").alias("modification_time"),
-                F.lit(None).cast("timestamp").alias("deletion_time"),
-            )
-        )
+            commits = commits.join(last, "table", "left")
+            later = F.col("__last").isNull() | (F.col("version") > F.col("__last"))
+        none = F.lit(None).cast("long")
+        commit = _action(F.lit("commit"), F.lit(None).cast("string"), none, none, none)
+        # Both from one pass: a line is an action, and evidence of its commit.
+        parts.append(_rows(commits, F.when(later, _file_action()), commit))
     actions = parts[0]
     for part in parts[1:]:
         actions = actions.unionByName(part)

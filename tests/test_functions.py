@@ -1,6 +1,7 @@
 import datetime as dt
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +39,18 @@ def test_strip_accents_latin(values):
     assert got == list(pairs.values())
 
 
+def test_whitespace_agrees_with_python_for_every_character(spark):
+    chars = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    raw = [f"{c}a{c}{c} b{c}" for c in chars]
+    df = spark.createDataFrame([(r,) for r in raw], "v string").select(
+        "v", text.collapse_spaces("v").alias("c"), text.strip("v").alias("s")
+    )
+    wrong = [
+        r.v for r in df.collect() if r.c != re.sub(r"\s+", " ", r.v).strip() or r.s != r.v.strip()
+    ]
+    assert not wrong, [hex(ord(w[0])) for w in wrong]
+
+
 def test_digits(values):
     rows = [("123.456.789-09",), ("sem numero",), (None,)]
     assert values("v string", rows, text.digits_only("v")) == ["12345678909", None, None]
