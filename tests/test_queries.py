@@ -25,7 +25,7 @@ def database():
 
 def _value(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else float(f"{v:.12g}")
+        return "nan" if math.isnan(v) else v
     return v
 
 
