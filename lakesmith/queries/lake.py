@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import ntz_literal
 from ..operators import commitlog, health, inventory, maintain, targets
+from ..plans import health as plan
 from .inputs import load, sql
 
 _NOW = dt.datetime(2001, 1, 1)
@@ -77,6 +78,35 @@ LOOSE_SAMPLES = f"""
     QUALIFY sample_no <= 8"""
 
 
+def bucket_metrics(spark, sf):
+    """Usage with samples and growth against the objects changed before 1999."""
+    objects = load(spark, sf, "objects")
+    before = (
+        objects.filter("last_modified < timestamp_ntz'1999-01-01'")
+        .groupBy(F.concat(F.lit("s3a://"), "bucket").alias("target"))
+        .agg(F.sum("size").alias("total_bytes"))
+    )
+    metrics = plan.bucket_metrics(objects, before)
+    return metrics.select(
+        "target", "total_bytes", "loose_bytes", "delta_tables", "growth_pct",
+        F.array_join("loose_samples", "|").alias("samples"),
+    )
+
+
+BUCKET_METRICS = f"""
+    WITH f AS ({_FLAGGED}),
+    s AS (SELECT bucket, key, row_number() OVER (PARTITION BY bucket ORDER BY key) AS n FROM f WHERE NOT under_table),
+    j AS (SELECT bucket, string_agg(key, '|' ORDER BY n) AS samples FROM s WHERE n <= 8 GROUP BY 1),
+    p AS (SELECT bucket, CAST(sum(size) AS DOUBLE) AS b FROM {{objects}}
+          WHERE last_modified < TIMESTAMP '1999-01-01' GROUP BY 1),
+    u AS (SELECT bucket, CAST(sum(size) AS BIGINT) AS total_bytes,
+                 CAST(coalesce(sum(size) FILTER (WHERE NOT under_table), 0) AS BIGINT) AS loose_bytes FROM f GROUP BY 1),
+    t AS (SELECT bucket, count(*) AS delta_tables FROM ({_ROOTS}) GROUP BY 1)
+    SELECT 's3a://' || u.bucket AS target, total_bytes, loose_bytes, delta_tables,
+           CASE WHEN b > 0 THEN (CAST(total_bytes AS DOUBLE) - b) / b * 100.0 END AS growth_pct, samples
+    FROM u LEFT JOIN j ON u.bucket = j.bucket LEFT JOIN p ON u.bucket = p.bucket LEFT JOIN t ON u.bucket = t.bucket"""
+
+
 def _actions(spark, sf):
     both = load(spark, sf, "file_actions").unionByName(load(spark, sf, "commit_actions"))
     return both.select(
@@ -285,6 +315,7 @@ QUERIES = {
     "object_classes": (object_classes, sql(_FLAGGED)),
     "bucket_usage": (bucket_usage, sql(BUCKET_USAGE)),
     "loose_samples": (loose_samples, sql(LOOSE_SAMPLES)),
+    "bucket_metrics": (bucket_metrics, sql(BUCKET_METRICS)),
     "live_files": (live_files, sql(LIVE_FILES)),
     "table_stats": (table_stats, sql(TABLE_STATS)),
     "health_alerts": (health_alerts, sql(HEALTH_ALERTS)),

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import partition_folders
 from .tables import open_table
 
 RUN_SCHEMA = """dag_id string, dag_run_id string, run_id string, run_type string, triggered_by string,
@@ -22,17 +23,21 @@ def save_snapshot(df: DataFrame, path: str, ts: dt.datetime) -> None:
 def latest_snapshot(spark: SparkSession, path: str, before: dt.datetime | None = None) -> DataFrame | None:
     """The rows of the newest snapshot (before an instant), ``None`` without any.
 
-    The newest day is found from folder names, its newest time from that day alone.
+    Days are tried from the newest folder on, and only that day's times are read.
     """
     table = open_table(spark, path)
     if table is None:
         return None
-    if before is not None:
-        table = table.filter((F.col("day") <= before.date().isoformat()) & (F.col("ts") < F.lit(before)))
-    newest = table.agg(F.max(F.struct("day", "ts")).alias("m")).select("m.*").first()
-    if newest["day"] is None:
-        return None
-    return table.filter((F.col("day") == newest["day"]) & (F.col("ts") == F.lit(newest["ts"]))).drop("day")
+    for day in sorted(partition_folders(spark, path, "day"), reverse=True):
+        rows = table.filter(F.col("day") == day)
+        if before is not None:
+            if day > before.date().isoformat():
+                continue
+            rows = rows.filter(F.col("ts") < F.lit(before))
+        newest = rows.agg(F.max("ts")).first()[0]
+        if newest is not None:
+            return rows.filter(F.col("ts") == F.lit(newest)).drop("day")
+    return None
 
 
 def run_records(spark: SparkSession, path: str) -> DataFrame:

@@ -31,6 +31,12 @@ def partition_columns(spark: SparkSession, path: str) -> list[str]:
         columns.append(found[0].getPath().getName().split("=", 1)[0])
 
 
+def partition_folders(spark: SparkSession, path: str, column: str) -> list[str]:
+    """Values of a table's first partition column, from its folder names."""
+    files, pattern = _open(spark, f"{path.rstrip('/')}/{column}=*")
+    return [f.getPath().getName().split("=", 1)[1] for f in files.globStatus(pattern) or []]
+
+
 def staging_path(path: str, kind: str = "staged") -> str:
     """A new folder next to a table, so on the same shared storage."""
     return f"{path.rstrip('/')}__{kind}-{uuid.uuid4().hex}"
