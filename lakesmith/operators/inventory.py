@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -38,19 +38,27 @@ def _scoped(objects: DataFrame, roots: DataFrame) -> DataFrame:
     """Objects with the folder that decides which tables they belong to.
 
     That is the parent folder, or the whole key for an object named exactly like
-    a root.
+    a root (``is_root``).
     """
-    exact = roots.select("bucket", F.col("root").alias("key"), F.lit(True).alias("__is_root"))
+    exact = roots.select("bucket", F.col("root").alias("key"), F.lit(True).alias("__exact"))
     return (
         objects.withColumn("key", F.ltrim("key", F.lit("/")))
         .join(exact, ["bucket", "key"], "left")
+        .withColumn("is_root", F.coalesce("__exact", F.lit(False)))
         .withColumn(
-            "scope", F.coalesce(F.when(F.col("__is_root"), F.col("key")), paths.parent_folder("key"), F.lit(""))
+            "scope",
+            F.coalesce(F.when(F.col("is_root"), F.col("key")), paths.parent_folder("key"), F.lit("")),
         )
-        .drop("__is_root")
+        .drop("__exact")
     )
 
 
+def _in_temp_folder() -> Column:
+    """The marks of temporary objects end with a slash, so the folder decides."""
+    folder = F.when(F.col("is_root"), paths.parent_folder("scope")).otherwise(F.col("scope"))
+    return paths.is_temp_object_key(F.concat(folder, F.lit("/")))
+
+
 def scope_flags(scopes: DataFrame, roots: DataFrame) -> DataFrame:
     """Folders with ``under_table`` and ``under_ephemeral``.
 
@@ -74,34 +82,24 @@ def scope_flags(scopes: DataFrame, roots: DataFrame) -> DataFrame:
 def classify_objects(objects: DataFrame) -> DataFrame:
     """Each object with ``under_table, under_ephemeral, temp``.
 
-    The prefix join runs once per folder, not per object.
+    All three are worked out once per folder, not per object.
     """
     roots = _root_flags(table_roots(objects))
     scoped = _scoped(objects, roots)
-    flags = scope_flags(scoped.select("bucket", "scope").distinct(), roots)
-    return (
-        scoped.join(flags, ["bucket", "scope"])
-        .withColumn("temp", paths.is_temp_object_key("key"))
-        .drop("scope")
-    )
+    folder = ["bucket", "scope", "is_root"]
+    flags = scope_flags(scoped.select(*folder).distinct(), roots).withColumn("temp", _in_temp_folder())
+    return scoped.join(flags, folder).drop("scope", "is_root")
 
 
 def _folder_usage(objects: DataFrame, roots: DataFrame) -> DataFrame:
     """Counts and bytes per folder, with the folder's flags; few rows per map task."""
     size = F.coalesce("size", F.lit(0)).cast("long")
-    temp = F.col("temp")
     per_folder = (
         _scoped(objects, roots)
-        .withColumn("temp", paths.is_temp_object_key("key"))
-        .groupBy("bucket", "scope")
-        .agg(
-            F.count(F.lit(1)).alias("objects"),
-            F.sum(size).alias("bytes"),
-            F.count_if(temp).alias("temp_objects"),
-            F.sum(F.when(temp, size).otherwise(0)).alias("temp_bytes"),
-        )
+        .groupBy("bucket", "scope", "is_root")
+        .agg(F.count(F.lit(1)).alias("objects"), F.sum(size).alias("bytes"))
     )
-    return scope_flags(per_folder, roots)
+    return scope_flags(per_folder, roots).withColumn("temp", _in_temp_folder())
 
 
 def bucket_usage(objects: DataFrame) -> DataFrame:
@@ -112,7 +110,7 @@ def bucket_usage(objects: DataFrame) -> DataFrame:
     """
     found = table_roots(objects)
     folders = _folder_usage(objects, _root_flags(found))
-    inside, ephemeral = F.col("under_table"), F.col("under_ephemeral")
+    inside, ephemeral, temp = F.col("under_table"), F.col("under_ephemeral"), F.col("temp")
 
     def total(column: str, when=None):
         value = F.col(column) if when is None else F.when(when, F.col(column)).otherwise(0)
@@ -125,8 +123,8 @@ def bucket_usage(objects: DataFrame) -> DataFrame:
         total("bytes", ~inside).alias("loose_bytes"),
         total("objects", ~inside).alias("loose_objects"),
         total("bytes", ephemeral).alias("ephemeral_bytes"),
-        total("temp_bytes").alias("temp_bytes"),
-        total("temp_objects").alias("temp_objects"),
+        total("bytes", temp).alias("temp_bytes"),
+        total("objects", temp).alias("temp_objects"),
     )
     tables = found.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("delta_tables"), F.count_if("ephemeral").alias("ephemeral_tables")
@@ -145,21 +143,16 @@ def bucket_usage(objects: DataFrame) -> DataFrame:
 def loose_samples(objects: DataFrame, n: int = SAMPLE_KEYS) -> DataFrame:
     """The first ``n`` keys per bucket that belong to no table: ``(bucket, sample_no, key)``.
 
-    Each folder first offers its own first ``n`` keys (ranked before the
-    shuffle), and only these meet the folder flags.
+    Folders are judged first, so only loose objects are ranked, and those before
+    the shuffle as well: a map task sends at most ``n`` keys per bucket.
     """
     roots = _root_flags(table_roots(objects))
-    folder = Window.partitionBy("bucket", "scope").orderBy("key")
-    offered = (
-        _scoped(objects, roots)
-        .select("bucket", "scope", "key")
-        .withColumn("__n", F.row_number().over(folder))
-        .filter(F.col("__n") <= n)
-    )
-    flags = scope_flags(offered.select("bucket", "scope").distinct(), roots)
+    scoped = _scoped(objects, roots).select("bucket", "scope", "key")
+    folders = scope_flags(scoped.select("bucket", "scope").distinct(), roots)
+    loose = folders.filter(~F.col("under_table")).select("bucket", "scope")
     bucket = Window.partitionBy("bucket").orderBy("key")
     return (
-        offered.join(flags.filter(~F.col("under_table")).select("bucket", "scope"), ["bucket", "scope"])
+        scoped.join(loose, ["bucket", "scope"], "left_semi")
         .withColumn("sample_no", F.row_number().over(bucket))
         .filter(F.col("sample_no") <= n)
         .select("bucket", "sample_no", "key")
