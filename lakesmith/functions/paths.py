@@ -77,7 +77,12 @@ def uri_to_root_prefix(uri: ColumnOrName, bucket: ColumnOrName) -> Column:
 
 def is_ephemeral_delta_uri(uri: ColumnOrName) -> Column:
     """A table written once per run, or nested below ``_meta`` per system."""
-    path = F.lower(F.regexp_replace(as_column(uri), "^.*?://", ""))
+    return is_ephemeral_path(F.regexp_replace(as_column(uri), "^.*?://", ""))
+
+
+def is_ephemeral_path(path: ColumnOrName) -> Column:
+    """The same for a path that starts with the bucket."""
+    path = F.lower(as_column(path))
     return F.contains(path, F.lit("run_id=")) | (
         F.contains(path, F.lit("/_meta/")) & F.contains(path, F.lit("system="))
     )

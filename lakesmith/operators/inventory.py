@@ -1,4 +1,9 @@
-"""Roll-up of an object inventory ``(bucket, key, size)``."""
+"""Roll-up of an object inventory ``(bucket, key, size)``.
+
+The operators accept the ``roots`` found by :func:`table_roots`. Pass them as a
+written table (``materialize``): they are then computed once, and Catalyst sees
+their size, so it broadcasts a short list and does not shuffle the inventory.
+"""
 
 from __future__ import annotations
 
@@ -17,15 +22,15 @@ def table_roots(objects: DataFrame) -> DataFrame:
     A key below a log folder makes that folder's parent a table root.
     """
     folders = (
-        objects.filter(paths.has_log_folder("key"))
+        objects.filter(F.col("bucket").isNotNull() & paths.has_log_folder("key"))
         .select("bucket", paths.folder_of_log("key").alias("folder"))
         .distinct()
     )
-    uri = paths.table_uri("bucket", "folder")
-    # Never null, or joins on it would repeat the whole expression as a filter of the scan.
-    root = F.coalesce(paths.uri_to_root_prefix(uri, "bucket"), F.lit(""))
     return folders.select(
-        "bucket", uri.alias("uri"), root.alias("root"), paths.is_ephemeral_delta_uri(uri).alias("ephemeral")
+        "bucket",
+        paths.table_uri("bucket", "folder").alias("uri"),
+        F.trim("folder", F.lit("/")).alias("root"),
+        paths.is_ephemeral_path(F.concat("bucket", F.lit("/"), "folder")).alias("ephemeral"),
     )
 
 
@@ -66,25 +71,27 @@ def scope_flags(scopes: DataFrame, roots: DataFrame) -> DataFrame:
     equality join on the prefixes replaces the comparison of every folder with
     every root. A path has as many prefixes as it is deep.
     """
-    hits = (
-        scopes.select("bucket", "scope", F.explode(paths.path_prefixes("scope")).alias("root"))
-        .join(roots, ["bucket", "root"])
-        .groupBy("bucket", "scope")
-        .agg(F.max("ephemeral").alias("__ephemeral"))
-    )
-    return scopes.join(hits, ["bucket", "scope"], "left").select(
-        *scopes.columns,
-        F.col("__ephemeral").isNotNull().alias("under_table"),
-        F.coalesce("__ephemeral", F.lit(False)).alias("under_ephemeral"),
+    folder = [c for c in scopes.columns if c in ("bucket", "scope", "is_root")]
+    carried = [F.first(c).alias(c) for c in scopes.columns if c not in folder]
+    return (
+        scopes.withColumn("root", F.explode(paths.path_prefixes("scope")))
+        .join(roots, ["bucket", "root"], "left")
+        .groupBy(*folder)
+        .agg(*carried, F.max("ephemeral").alias("__ephemeral"))
+        .select(
+            *scopes.columns,
+            F.col("__ephemeral").isNotNull().alias("under_table"),
+            F.coalesce("__ephemeral", F.lit(False)).alias("under_ephemeral"),
+        )
     )
 
 
-def classify_objects(objects: DataFrame) -> DataFrame:
+def classify_objects(objects: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Each object with ``under_table, under_ephemeral, temp``.
 
     All three are worked out once per folder, not per object.
     """
-    roots = _root_flags(table_roots(objects))
+    roots = _root_flags(table_roots(objects) if roots is None else roots)
     scoped = _scoped(objects, roots)
     folder = ["bucket", "scope", "is_root"]
     flags = scope_flags(scoped.select(*folder).distinct(), roots).withColumn("temp", _in_temp_folder())
@@ -102,13 +109,13 @@ def _folder_usage(objects: DataFrame, roots: DataFrame) -> DataFrame:
     return scope_flags(per_folder, roots).withColumn("temp", _in_temp_folder())
 
 
-def bucket_usage(objects: DataFrame) -> DataFrame:
+def bucket_usage(objects: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """One row per bucket: objects and bytes in total, in tables, loose, temporary, ephemeral.
 
     Table and ephemeral URIs are counted here and listed by :func:`table_roots`:
     a bucket may hold any number of them.
     """
-    found = table_roots(objects)
+    found = table_roots(objects) if roots is None else roots
     folders = _folder_usage(objects, _root_flags(found))
     inside, ephemeral, temp = F.col("under_table"), F.col("under_ephemeral"), F.col("temp")
 
@@ -140,13 +147,13 @@ def bucket_usage(objects: DataFrame) -> DataFrame:
     )
 
 
-def loose_samples(objects: DataFrame, n: int = SAMPLE_KEYS) -> DataFrame:
+def loose_samples(objects: DataFrame, roots: DataFrame | None = None, n: int = SAMPLE_KEYS) -> DataFrame:
     """The first ``n`` keys per bucket that belong to no table: ``(bucket, sample_no, key)``.
 
     Folders are judged first, so only loose objects are ranked, and those before
     the shuffle as well: a map task sends at most ``n`` keys per bucket.
     """
-    roots = _root_flags(table_roots(objects))
+    roots = _root_flags(table_roots(objects) if roots is None else roots)
     scoped = _scoped(objects, roots).select("bucket", "scope", "key")
     folders = scope_flags(scoped.select("bucket", "scope").distinct(), roots)
     loose = folders.filter(~F.col("under_table")).select("bucket", "scope")

@@ -12,6 +12,7 @@ from ..operators import health
 from ..operators.commitlog import table_stats
 from ..operators.inventory import bucket_usage, loose_samples, table_roots, with_samples
 from ..operators.targets import resolve_targets
+from ..sinks.files import materialize
 
 
 @dataclass(frozen=True)
@@ -21,9 +22,13 @@ class HealthScan:
     alerts: DataFrame
 
 
-def bucket_metrics(objects: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+def bucket_metrics(
+    objects: DataFrame, previous: DataFrame | None = None, roots: DataFrame | None = None
+) -> DataFrame:
     """Bucket usage with samples, ``target`` and growth against ``(target, total_bytes)``."""
-    usage = with_samples(bucket_usage(objects), loose_samples(objects))
+    if roots is None:
+        roots = materialize(table_roots(objects), "roots")
+    usage = with_samples(bucket_usage(objects, roots), loose_samples(objects, roots))
     usage = usage.withColumn("target", health.bucket_target(usage))
     if previous is None:
         return usage.withColumn("growth_pct", F.lit(None).cast("double"))
@@ -56,9 +61,9 @@ def health_scan(
     The inventory and the actions are read several times: pass tables, not a
     listing (see ``materialize``).
     """
-    roots = table_roots(objects)
+    roots = materialize(table_roots(objects), "roots")
     targets = resolve_targets(listed, project_tables, roots.select("uri"))
-    buckets = bucket_metrics(objects, previous_buckets)
+    buckets = bucket_metrics(objects, previous_buckets, roots)
     tables = table_metrics(actions, targets.select(F.col("uri").alias("table")), previous_tables)
     alerts = health.evaluate_health(buckets, tables, thresholds, roots=roots, errors=errors)
     return HealthScan(buckets, tables, alerts)

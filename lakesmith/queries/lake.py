@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import ntz_literal
 from ..operators import commitlog, health, inventory, maintain, targets
 from ..plans import health as plan
+from ..sinks.files import materialize
 from .inputs import load, sql
 
 _NOW = dt.datetime(2001, 1, 1)
@@ -19,6 +20,10 @@ def table_roots(spark, sf):
     return inventory.table_roots(load(spark, sf, "objects"))
 
 
+def _written_roots(objects):
+    return materialize(inventory.table_roots(objects), "roots")
+
+
 _ROOTS = """
     SELECT DISTINCT bucket, regexp_extract(key, '^(.*?)/_delta_log', 1) AS root,
            contains(key, 'run_id=') AS ephemeral
@@ -37,14 +42,16 @@ _FLAGGED = f"""
 
 def object_classes(spark, sf):
     """Objects below tables, below tables per run, temporary."""
-    return inventory.classify_objects(load(spark, sf, "objects")).select(
+    objects = load(spark, sf, "objects")
+    return inventory.classify_objects(objects, _written_roots(objects)).select(
         "bucket", "key", "size", "under_table", "under_ephemeral", "temp"
     )
 
 
 def bucket_usage(spark, sf):
     """A7."""
-    return inventory.bucket_usage(load(spark, sf, "objects"))
+    objects = load(spark, sf, "objects")
+    return inventory.bucket_usage(objects, _written_roots(objects))
 
 
 BUCKET_USAGE = f"""
@@ -68,7 +75,8 @@ BUCKET_USAGE = f"""
 
 def loose_samples(spark, sf):
     """The first loose keys per bucket."""
-    return inventory.loose_samples(load(spark, sf, "objects"))
+    objects = load(spark, sf, "objects")
+    return inventory.loose_samples(objects, _written_roots(objects))
 
 
 LOOSE_SAMPLES = f"""
