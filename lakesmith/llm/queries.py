@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op8_decontamination
+from .mixing import op9_mixing
 from .near_duplicates import op6_near_duplicates
 from .quality_rules import op3_quality_rules
+from .sharding import op10_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_quality_rules, op6_near_duplicates)
+    f.__name__: f
+    for f in (op3_quality_rules, op6_near_duplicates, op8_decontamination, op9_mixing, op10_sharding)
 }
 
 CHECKS: dict[str, str] = {}
