@@ -56,7 +56,8 @@ def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -
     weights are 0 and the ratio says nothing.
     """
     trusted = labels.where("quality = 1").select("doc_id").distinct().withColumn("_trusted", F.lit(1))
-    known = docs.select("doc_id", "text").join(trusted, "doc_id", "left")
+    # Labels grow with the documents, so they are never broadcast.
+    known = docs.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left")
     split = known.select(_tokens(F.col("text")).alias("_tokens"), F.coalesce("_trusted", F.lit(0)).alias("_trusted"))
     pairs = split.select(
         "_trusted", F.expr("inline(arrays_zip(_tokens, slice(_tokens, 2, greatest(size(_tokens) - 1, 0))))")
