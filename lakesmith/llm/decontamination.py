@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read
+from .tables import built, read
 from .words import U, Words, chained, columns, mix, runs_of_text
 
 #: One edit is allowed for so many words of an item.
@@ -216,15 +216,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, name: str = "_items") ->
     out = docs.withColumn(name, F.expr("cast(array() AS array<struct<item_id: bigint, distance: int>>)"))
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        held = spark.sparkContext.broadcast(Items([r.item_id for r in rows], [r.text for r in rows]))
+        held = spark.sparkContext.broadcast(([r.item_id for r in rows], [r.text for r in rows]))
 
         def searched(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            items = built(held, lambda value: Items(*value))
             for batch in batches:
                 for at in range(0, max(1, len(batch)), 1000):
                     part = batch.slice(at, 1000)
                     texts, before = columns(part, "text", name)
                     hits = []
-                    for old, new in zip(before.to_pylist(), held.value.matches(texts)):
+                    for old, new in zip(before.to_pylist(), items.matches(texts)):
                         for x in old:
                             new[x["item_id"]] = min(x["distance"], new.get(x["item_id"], x["distance"]))
                         hits.append([{"item_id": i, "distance": d} for i, d in sorted(new.items())])

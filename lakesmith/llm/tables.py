@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import Any
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +58,17 @@ class Workspace:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def built(held: Broadcast, make: Callable[[Any], Any]) -> Any:
+    """What ``make`` builds of a broadcast value, once in each Python worker.
+
+    Workers keep broadcasts between tasks. Values of plain and numpy types need
+    no module of this package to be read.
+    """
+    if not hasattr(held, "_built"):
+        held._built = make(held.value)
+    return held._built
+
+
 def numbered(
     df: DataFrame,
     groups: Sequence[str],
