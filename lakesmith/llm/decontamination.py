@@ -211,7 +211,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, name: str = "_items") ->
     items = benchmark.select("item_id", "text").where("text IS NOT NULL AND item_id IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     blocks = total // ITEM_BYTES + 1
-    schema = docs.schema.add(name, "array<struct<item_id: bigint, distance: int>>")
     found = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
     out = docs.withColumn(name, F.expr("cast(array() AS array<struct<item_id: bigint, distance: int>>)"))
     for block in range(blocks):
@@ -235,7 +234,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, name: str = "_items") ->
                     ]
                     yield pa.RecordBatch.from_arrays(arrays, names=part.schema.names)
 
-        out = out.mapInArrow(searched, schema)
+        out = out.mapInArrow(searched, out.schema)
     return out
 
 
