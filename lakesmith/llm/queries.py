@@ -7,14 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op8_decontamination
+from .lm_scoring import op1_lm_scoring
 from .mixing import op9_mixing
 from .near_duplicates import op6_near_duplicates
+from .quality_classifier import op2_quality_classifier
 from .quality_rules import op3_quality_rules
 from .sharding import op10_sharding
+from .toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_quality_rules, op6_near_duplicates, op8_decontamination, op9_mixing, op10_sharding)
+    for f in (
+        op1_lm_scoring,
+        op2_quality_classifier,
+        op3_quality_rules,
+        op5_toxicity,
+        op6_near_duplicates,
+        op8_decontamination,
+        op9_mixing,
+        op10_sharding,
+    )
 }
 
 CHECKS: dict[str, str] = {}
