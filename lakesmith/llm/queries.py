@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op8_decontamination
+from .line_templates import op7_line_templates
 from .lm_scoring import op1_lm_scoring
 from .mixing import op9_mixing
 from .near_duplicates import op6_near_duplicates
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_quality_rules,
         op5_toxicity,
         op6_near_duplicates,
+        op7_line_templates,
         op8_decontamination,
         op9_mixing,
         op10_sharding,
