@@ -11,6 +11,7 @@ from .line_templates import op7_line_templates
 from .lm_scoring import op1_lm_scoring
 from .mixing import op9_mixing
 from .near_duplicates import op6_near_duplicates
+from .personal_data import op4_personal_data
 from .quality_classifier import op2_quality_classifier
 from .quality_rules import op3_quality_rules
 from .sharding import op10_sharding
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_lm_scoring,
         op2_quality_classifier,
         op3_quality_rules,
+        op4_personal_data,
         op5_toxicity,
         op6_near_duplicates,
         op7_line_templates,
