@@ -7,11 +7,11 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_points
 from lakesmith.operators.dedupe import dedupe, dedupe_counts, key_duplicates
 from lakesmith.operators.inventory import bucket_usage, loose_samples
 from lakesmith.operators.upsert import upsert
 from lakesmith.plans.load import in_window
+from lakesmith.queries import REGISTERED
 from lakesmith.queries.inputs import load
 
 from .conftest import SMALL
@@ -32,9 +32,9 @@ def shuffled(spark):
 WRITERS = {"write_merge", "write_slice", "write_append", "write_dedupe", "compact", "upsert_stream", "growth", "load_cycle"}
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_points.queries()) - WRITERS))
+@pytest.mark.parametrize("name", sorted(set(REGISTERED) - WRITERS))
 def test_no_nested_loops_and_no_python(spark, shuffled, name):
-    text = plan(entry_points.queries()[name](spark, SMALL))
+    text = plan(REGISTERED[name][0](spark, SMALL))
     assert "CartesianProduct" not in text and "NestedLoop" not in text
     assert "Python" not in text and "InPandas" not in text
 

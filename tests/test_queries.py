@@ -8,10 +8,13 @@ import pytest
 
 import __spark_entry__ as entry_points
 
+from lakesmith.queries import REGISTERED
+
 from .conftest import SMALL
 
 DATA = os.environ.get("CHECK_SF_DIR", SMALL)
-RUN, CHECK = entry_points.queries(), entry_points.oracle_sql()
+RUN = {name: run for name, (run, _) in REGISTERED.items()}
+CHECK = {name: check for name, (_, check) in REGISTERED.items()}
 TABLES = ("region nation customer supplier part orders lineitem events documents").split()
 
 
