@@ -8,14 +8,18 @@ dual is convex; Newton steps, kept inside a shrinking bracket, solve all sources
 at once. A step is an aggregate over (source, size) cells, which hold the
 documents' whole contribution, so a hot source is summed before it is shuffled.
 
-Rates then become copies: along a source's documents in the order of their sizes,
-a document takes as many copies as the running sum of rates passes whole numbers.
-Rounding errors of neighbours cancel, and among 32 starting offsets the one that
-brings a source nearest to its target is taken. No random numbers are drawn.
+Rates then become copies. From a source's largest documents to its smallest, each
+size gets the whole number of copies nearest to its rates and to the tokens that
+rounding has left over so far. So the source ends within half of a small document
+of its target, unless all its documents are taken MOST times. A source's (size)
+cells, not its documents, are one group here. Within a cell, documents come in
+the order of a hash. No random numbers are drawn.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +29,6 @@ from .tables import Workspace, numbered, read
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
-OFFSETS = 32
 STEPS = 40
 TOLERANCE = 1e-10
 
@@ -113,6 +116,18 @@ def _solved(work: Workspace, cells: DataFrame, sources: DataFrame) -> DataFrame:
     return state.select("key", "t", "scale")
 
 
+def _rounded(cells: pd.DataFrame) -> pd.DataFrame:
+    """Whole numbers of copies for the cells of one source."""
+    cells = cells.sort_values("size", ascending=False, ignore_index=True)
+    copies, left = [], 0.0
+    for size, n, w in zip(cells["size"], cells["n"], cells["w"]):
+        wanted = n * w
+        m = int(min(max(round(wanted + left / size if size else wanted), 0), MOST * n))
+        left += (wanted - m) * size
+        copies.append(m)
+    return cells[["key", "size", "n"]].assign(m=np.array(copies, np.int64))
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, copies and taken, a row for each row of ``docs``.
 
@@ -139,30 +154,14 @@ def mixed(docs: DataFrame) -> DataFrame:
     dual = _solved(work, cells.drop("source"), sources)
     rated = cells.drop("source").join(dual, "key").withColumn("c", F.col("size") / F.col("scale"))
     rated = rated.withColumn("w", _rate("t", "c"))
-    before = Window.partitionBy("key").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    run = work.keep(
-        rated.select(
-            "key", "size", "n", "w", F.coalesce(F.sum(F.col("n") * F.col("w")).over(before), F.lit(0.0)).alias("sum")
-        ),
-        "rates",
-    )
-    # The tokens that each offset would take, and the offset nearest to the target.
-    tried = run.withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(OFFSETS - 1)))).withColumn(
-        "u", (F.col("u") + 0.5) / OFFSETS
-    )
-    copies = F.floor(F.col("sum") + F.col("n") * F.col("w") + F.col("u")) - F.floor(F.col("sum") + F.col("u"))
-    takes = tried.groupBy("key", "u").agg(F.sum(copies * F.col("size")).alias("takes"))
-    off = takes.join(sources.select("key", "target"), "key").groupBy("key").agg(
-        F.min_by("u", F.struct(F.abs(F.col("takes") - F.col("target")), F.col("u"))).alias("u")
-    )
-    plan = work.keep(
-        run.join(off, "key").join(sources.drop("source", "scale", "weight"), "key").drop("n"), "plan"
+    copies = rated.select("key", "size", "n", "w").groupBy("key").applyInPandas(
+        _rounded, "key string, size long, n long, m long"
     )
+    plan = work.keep(copies.join(sources.select("key", "source_size", "target"), "key"), "plan")
     ranked = numbered(rows.select("doc_id", "key", "size"), ["key", "size"], [F.col("doc_id")], rows.count(), "_k")
-    at = F.col("sum") + F.col("_k") * F.col("w") + F.col("u")
-    got = (F.floor(at + F.col("w")) - F.floor(at)).cast("long")
+    got = F.floor(F.col("m") / F.col("n")) + F.when(F.col("_k") < F.col("m") % F.col("n"), 1).otherwise(0)
     out = ranked.join(plan, ["key", "size"]).select(
-        "doc_id", "size", "source_size", "target", got.alias("copies"), F.col("key").alias("_key")
+        "doc_id", "size", "source_size", "target", got.cast("long").alias("copies"), F.col("key").alias("_key")
     )
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
