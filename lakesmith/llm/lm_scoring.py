@@ -34,8 +34,8 @@ from .tables import Workspace, built, read
 from .words import U, Words, columns, mix
 
 ORDER = 5
-NODES = 3 << 20
-WORDS = 2 << 20
+NODES = 2 << 20
+WORDS = 1 << 20
 #: Bytes of text for each part of the key space.
 PART_BYTES = 16 << 20
 _START, _END = 0xFE, 0xFF  # bytes that UTF-8 never holds
@@ -96,7 +96,7 @@ def _counted(parts: int):
         def add(kind: int, keys: np.ndarray) -> None:
             found = np.unique(keys, return_counts=True)
             kept[kind].append((found[0], found[1].astype(np.int64)))
-            if sum(len(x[0]) for x in kept[kind][1:]) > max(1 << 21, len(kept[kind][0][0])):
+            if sum(len(x[0]) for x in kept[kind][1:]) > max(1 << 19, len(kept[kind][0][0]) // 2):
                 kept[kind] = [summed(*map(np.concatenate, zip(*kept[kind])))]
 
         for batch in batches:
