@@ -12,10 +12,6 @@ from pyspark.sql import types as T
 from ..functions.text import strip
 from .align import align_column_case, align_to_table, quoted, resolve_columns
 
-# Rows that cannot match are dealt to this many groups instead of one.
-_SPREAD = 4096
-
-
 def partition_values(source: DataFrame, partition_col: str) -> DataFrame:
     """Distinct partition values of a source: ``(value, text, blank, safe)``.
 
@@ -36,61 +32,73 @@ def partition_values(source: DataFrame, partition_col: str) -> DataFrame:
     )
 
 
-def partition_predicate(source: DataFrame, partition_col: str, max_listed: int = 1000) -> Scope:
+def partition_predicate(source: DataFrame, partition_col: str) -> Scope:
     """Which target rows an upsert with a partition column may match.
 
     Only rows of the partitions the source mentions can match; with an unsafe
-    value, or none at all, every row can. Up to ``max_listed`` values become a
-    literal list that prunes the scan; more are kept as a frame and joined.
+    value, or none at all, every row can. The values are compared in the type of
+    the target's column, however many there are.
     """
     if partition_col.lower() not in {c.lower() for c in source.columns}:
-        return Scope(None, None, None)
+        return Scope(None, None)
     values = partition_values(source, partition_col).filter(~F.col("blank"))
     found = values.agg(
         F.count(F.lit(1)).alias("n"), F.count_if(~F.col("safe")).alias("unsafe")
     ).first()
     if not found["n"] or found["unsafe"]:
-        return Scope(partition_col, None, None)
-    if found["n"] <= max_listed:
-        listed = sorted({r["text"] for r in values.select("text").collect()})
-        return Scope(partition_col, listed, None)
-    return Scope(partition_col, None, values.select("text").distinct())
+        return Scope(partition_col, None)
+    return Scope(partition_col, values.select("text").distinct())
 
 
 class Scope:
-    """The part of the target an upsert may match: all, listed values, or a value frame."""
+    """The part of the target an upsert may match: all, or the rows of some partitions."""
+
+    #: Values that a predicate as text can hold.
+    MOST_LISTED = 1000
 
-    def __init__(self, column: str | None, listed: list[str] | None, frame: DataFrame | None):
-        self.column, self.listed, self.frame = column, listed, frame
+    def __init__(self, column: str | None, frame: DataFrame | None):
+        self.column, self.frame = column, frame
 
     @property
     def everything(self) -> bool:
-        return self.listed is None and self.frame is None
+        return self.frame is None
 
     def sql(self) -> str | None:
-        """The predicate on the target as text, ``None`` when there is none or it is too long."""
-        if not self.listed:
+        """The predicate on the target as text, for table formats that take one.
+
+        ``None`` when every row is in scope; an error when the values are too many
+        to be written out, since a shorter predicate would match other rows.
+        """
+        if self.everything:
             return None
+        listed = sorted(r["text"] for r in self.frame.limit(self.MOST_LISTED + 1).collect())
+        if len(listed) > self.MOST_LISTED:
+            raise ValueError(f"the source mentions more than {self.MOST_LISTED} partitions; merge it in parts")
         column = f"target.`{self.column}`"
-        if len(self.listed) == 1:
-            return f"{column} = '{self.listed[0]}'"
-        return f"{column} IN ({', '.join(repr(v) for v in self.listed)})"
+        if len(listed) == 1:
+            return f"{column} = '{listed[0]}'"
+        return f"{column} IN ({', '.join(repr(v) for v in listed)})"
+
+    def values(self, target: DataFrame, name: str) -> DataFrame:
+        """The distinct values in scope, in the type of the target's column."""
+        column = resolve_columns(target.columns, [self.column])[0]
+        typed = F.col("text").try_cast(target.schema[column].dataType).alias(name)
+        return self.frame.select(typed).where(F.col(name).isNotNull()).distinct()
+
+    def touched(self, target: DataFrame) -> DataFrame:
+        """The target's rows in scope."""
+        column = resolve_columns(target.columns, [self.column])[0]
+        return target.join(self.values(target, column), column, "left_semi").select(*[quoted(c) for c in target.columns])
 
     def mark(self, target: DataFrame, flag: str) -> DataFrame:
         """The target with a boolean column telling the rows in scope."""
         if self.everything:
             return target.withColumn(flag, F.lit(True))
         column = resolve_columns(target.columns, [self.column])[0]
-        if self.listed is not None:
-            data_type = target.schema[column].dataType
-            literals = [F.lit(v).cast(data_type) for v in self.listed]
-            inside = F.coalesce(quoted(column).isin(*literals), F.lit(False))
-            return target.withColumn(flag, inside)
-        known = self.frame.select(F.col("text").alias("__text"), F.lit(True).alias(flag))
+        known = self.values(target, "__scope_value").withColumn(flag, F.lit(True))
         return (
-            target.withColumn("__text", quoted(column).cast("string"))
-            .join(known, "__text", "left")
-            .drop("__text")
+            target.join(known, quoted(column) == F.col("__scope_value"), "left")
+            .drop("__scope_value")
             .withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
         )
 
@@ -106,7 +114,7 @@ def _spread_key(df: DataFrame, can_match: Column) -> Column:
         for f in df.schema
         if not isinstance(f.dataType, (T.MapType, T.VariantType))
     ]
-    return F.when(can_match, 0).otherwise(F.pmod(F.xxhash64(*hashable), F.lit(_SPREAD)) + 1)
+    return F.when(can_match, F.lit(0).cast("long")).otherwise(F.xxhash64(*hashable).bitwiseOR(F.lit(1)))
 
 
 def _spread_zero(keys: Sequence[str]) -> Column:
@@ -115,7 +123,7 @@ def _spread_zero(keys: Sequence[str]) -> Column:
     A literal would turn the equality into a plain condition, and the rows would
     be dealt by key alone.
     """
-    return F.pmod(F.hash(*[quoted(k) for k in keys]), F.lit(1))
+    return F.pmod(F.xxhash64(*[quoted(k) for k in keys]), F.lit(1).cast("long"))
 
 
 def duplicate_keys(source: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -138,6 +146,7 @@ def upsert(
     partition_col: str | None = None,
     scope: Scope | None = None,
     target_keys_unique: bool = False,
+    version_col: str | Sequence[str] | None = None,
 ) -> DataFrame:
     """The target after updating matched rows and inserting the others.
 
@@ -147,6 +156,10 @@ def upsert(
     unique (see :func:`duplicate_keys`); a source column the target lacks is an
     error.
 
+    With ``version_col`` a matched row is only updated by a source row whose version
+    is not lower (no version is the lowest), so late data cannot undo newer rows.
+    Several columns are compared one after the other.
+
     With ``partition_col`` the match is limited to the partitions the source
     mentions, so the same key may also live in another partition.
 
@@ -163,7 +176,7 @@ def upsert(
         raise ValueError(f"source columns missing in the target: {unknown}")
     resolve_columns(source.columns, keys)
     if scope is None:
-        scope = partition_predicate(source, partition_col) if partition_col else Scope(None, None, None)
+        scope = partition_predicate(source, partition_col) if partition_col else Scope(None, None)
 
     shared = [f for f in target.schema if f.name in source.columns]
     source = source.select(*[quoted(f.name).cast(f.dataType).alias(f.name) for f in shared])
@@ -180,7 +193,7 @@ def upsert(
     new_keys = source.filter(has_key).select(*[c.alias(n) for n, c in aliases.items()])
     wide = len(shared) < len(target.columns)
 
-    if target_keys_unique and not wide:
+    if target_keys_unique and not wide and version_col is None:
         kept = old_rows.join(new_keys.withColumn("__spread", _spread_zero(aliases)), on, "left_anti")
         return kept.select(*[quoted(c) for c in target.columns]).unionByName(source)
 
@@ -190,9 +203,16 @@ def upsert(
         F.struct(*[quoted(f.name) for f in shared]).alias("__new"),
     )
     in_source = {f.name for f in shared}
+    stays = F.col("__new").isNull()
+    if version_col is not None:
+        names = [version_col] if isinstance(version_col, str) else list(version_col)
+        versions = resolve_columns([f.name for f in shared], names)
+        # Structs order their fields one after the other, nulls first.
+        given = F.struct(*[F.col("__new").getField(v).alias(v) for v in versions])
+        stays = stays | (given < F.struct(*[quoted(v) for v in versions]))
     updated = old_rows.join(fresh, on, "left").select(
         *[
-            F.when(F.col("__new").isNull(), quoted(f.name))
+            F.when(stays, quoted(f.name))
             .otherwise(F.col("__new").getField(f.name))
             .alias(f.name)
             if f.name in in_source

@@ -71,6 +71,22 @@ MERGE_PARTITION_SCOPE = f"""
     WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.inside AND t.c_custkey = s.c_custkey)"""
 
 
+def merge_many_partitions(spark, sf):
+    """J1 with thousands of partitions, numbers in the target and padded text in the source."""
+    target = load(spark, sf, "orders").selectExpr("o_orderkey AS k", "CAST(o_orderkey % 5000 AS INT) AS p", "o_totalprice AS price")
+    source = target.where("k % 3 = 0").selectExpr("k", "lpad(CAST(p AS STRING), 6, '0') AS p", "price + 1 AS price")
+    return upsert(target, source, ["k"], partition_col="p")
+
+
+MERGE_MANY_PARTITIONS = """
+    WITH t AS (SELECT o_orderkey AS k, CAST(o_orderkey % 5000 AS INTEGER) AS p, o_totalprice AS price FROM orders),
+    s AS (SELECT k, p, price + 1 AS price FROM t WHERE k % 3 = 0), v AS (SELECT DISTINCT p FROM s),
+    u AS (SELECT t.*, v.p IS NOT NULL AS inside FROM t LEFT JOIN v ON t.p = v.p)
+    SELECT u.k, coalesce(s.p, u.p) AS p, coalesce(s.price, u.price) AS price FROM u LEFT JOIN s ON u.inside AND u.k = s.k
+    UNION ALL
+    SELECT k, p, price FROM s WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.inside AND u.k = s.k)"""
+
+
 def source_partitions(spark, sf):
     """The partition values of a batch and whether they can be listed."""
     batch = load(spark, sf, "events").withColumn("part", F.expr("CASE user_id % 3 WHEN 0 THEN ' ' WHEN 1 THEN event_type ELSE event_type || ' x' END"))
@@ -297,10 +313,11 @@ def compact_table(spark, sf):
 
 
 def upsert_stream(spark, sf):
-    """The events as a stream, merged batch by batch into a table."""
-    path, checkpoint = scratch_dir(spark, "stream"), scratch_dir(spark, "stream-checkpoint")
-    schema = load(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
+    """The events as a stream of files in no order of time, merged batch by batch into a table."""
+    path, checkpoint, files = (scratch_dir(spark, x) for x in ("stream", "stream-checkpoint", "stream-files"))
+    events = load(spark, sf, "events")
+    events.repartition(6, F.xxhash64("event_id")).write.parquet(files)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(files)
     query = incremental_upsert_stream(
         stream, path, keys=["user_id", "event_type"], version="ts", tie_cols=["event_id"], checkpoint=checkpoint
     )
@@ -313,6 +330,7 @@ QUERIES = {
     "merge_unique_target": (merge_unique_target, sql(MERGE_UPSERT)),
     "merge_keep_columns": (merge_keep_columns, sql(MERGE_KEEP_COLUMNS)),
     "merge_partition_scope": (merge_partition_scope, sql(MERGE_PARTITION_SCOPE)),
+    "merge_many_partitions": (merge_many_partitions, MERGE_MANY_PARTITIONS),
     "source_partitions": (source_partitions, SOURCE_PARTITIONS),
     "repeated_source_keys": (repeated_source_keys, REPEATED_SOURCE_KEYS),
     "replace_slice": (replace_status_slice, REPLACE_STATUS_SLICE),

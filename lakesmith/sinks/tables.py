@@ -19,10 +19,17 @@ from ..operators import align
 from ..operators.align import quoted, resolve_columns
 from ..operators.dedupe import dedupe, dedupe_counts
 from ..operators.upsert import Scope, partition_predicate, partition_values, replace_slice, upsert
-from ..sources.storage import partition_columns, staged_copy, staging_path, swap
+from ..sources.storage import partition_columns, put_back, staged_copy, staging_path, swap
 from ..sources.tables import open_table, settings
 
 
+def _target(spark: SparkSession, path: str, fmt: str) -> DataFrame | None:
+    """The table that a write changes; one whose last replacement broke off is put back first."""
+    if fmt == "parquet":
+        put_back(spark, path)
+    return open_table(spark, path, fmt)
+
+
 def _ready(df: DataFrame) -> DataFrame:
     return align.coerce_void_fields(align.business_timestamps_to_ntz(df))
 
@@ -89,7 +96,7 @@ def overwrite(
     if empty and predicate is None:
         return 0
     rows, seen = _counted(_ready(df))
-    target = open_table(spark, path, fmt)
+    target = _target(spark, path, fmt)
 
     if predicate is None or target is None:
         _write_all(rows, path, fmt, partition_by)
@@ -122,7 +129,7 @@ def append(
     spark = df.sparkSession
     if df.isEmpty():
         return 0
-    target = open_table(spark, path, fmt)
+    target = _target(spark, path, fmt)
     if target is None:
         return overwrite(df, path, fmt=fmt)
     void = align.void_columns(target.schema)
@@ -164,13 +171,15 @@ def merge(
     void_strategy: str = "skip",
     target_keys_unique: bool = False,
     stage_source: bool = True,
+    version_col: str | Sequence[str] | None = None,
     fmt: str = "parquet",
 ) -> int:
     """Idempotent upsert into a table; returns the source's rows.
 
     An absent table is created from the frame as it is (repeated keys included),
     partitioned by ``partition_col``. In a table partitioned by that column only
-    the partitions the source mentions are read and written. The frame is read
+    the partitions the source mentions are read and written. With ``version_col``
+    older source rows leave newer target rows as they are. The frame is read
     several times and therefore written next to the table first; pass
     ``stage_source=False`` for one that is cheap and always yields the same rows.
     """
@@ -178,7 +187,7 @@ def merge(
     if df.isEmpty():
         return 0
     source = _ready(df)
-    target = open_table(spark, path, fmt)
+    target = _target(spark, path, fmt)
     if target is None:
         parts = resolve_columns(source.columns, [partition_col]) if partition_col else []
         rows, seen = _counted(source)
@@ -193,45 +202,53 @@ def merge(
         )
         target = align.coerce_void_fields(target)
         count = _checked_source(source, merge_keys)
-        scope = partition_predicate(source, partition_col) if partition_col else Scope(None, None, None)
+        scope = partition_predicate(source, partition_col) if partition_col else Scope(None, None)
         if fmt != "parquet":
-            _merge_delta(spark, source, path, merge_keys, scope)
+            _merge_delta(spark, source, path, merge_keys, scope, version_col)
             return count
 
         parts = partition_columns(spark, path)
-        if _only_listed_partitions(source, scope, parts):
-            column = resolve_columns(target.columns, [partition_col])[0]
-            touched = target.filter(quoted(column).isin(*scope.listed))
-            result = upsert(touched, source, merge_keys, target_keys_unique=target_keys_unique)
+        how = {"target_keys_unique": target_keys_unique, "version_col": version_col}
+        if _only_mentioned_partitions(source, scope, parts):
+            result = upsert(scope.touched(target), source, merge_keys, **how)
             _write_partitions(result, path, parts)
         else:
-            result = upsert(target, source, merge_keys, scope=scope, target_keys_unique=target_keys_unique)
+            result = upsert(target, source, merge_keys, scope=scope, **how)
             _write_staged(result, path, parts)
     return count
 
 
-def _only_listed_partitions(source: DataFrame, scope: Scope, parts: Sequence[str]) -> bool:
-    """Whether a merge stays inside the listed partitions.
+def _only_mentioned_partitions(source: DataFrame, scope: Scope, parts: Sequence[str]) -> bool:
+    """Whether a merge stays inside the partitions that the source mentions.
 
-    Each listed partition then receives at least one source row, so none is left
+    Each of them then receives at least one source row, so none is left
     behind empty. A blank or untrimmed value goes elsewhere and forbids it.
     """
-    if scope.listed is None or len(parts) != 1 or parts[0].lower() != scope.column.lower():
+    if scope.everything or len(parts) != 1 or parts[0].lower() != scope.column.lower():
         return False
     values = partition_values(source, scope.column)
     other = F.col("blank") | (F.col("value").cast("string") != F.col("text"))
     return values.filter(other).isEmpty()
 
 
-def _merge_delta(spark: SparkSession, source: DataFrame, path: str, keys: Sequence[str], scope: Scope) -> None:
+def _merge_delta(
+    spark: SparkSession, source: DataFrame, path: str, keys: Sequence[str], scope: Scope, version_col: str | Sequence[str] | None
+) -> None:
     from delta.tables import DeltaTable
 
     names = resolve_columns(source.columns, keys)
     terms = [f"target.`{k}` = source.`{k}`" for k in names]
-    if scope.sql():
-        terms.append(scope.sql())
+    inside = scope.sql()
+    if inside:
+        terms.append(inside)
     merging = DeltaTable.forPath(spark, path).alias("target").merge(source.alias("source"), " AND ".join(terms))
-    merging.whenMatchedUpdateAll().whenNotMatchedInsertAll().execute()
+    newer = None
+    if version_col is not None:
+        names = [version_col] if isinstance(version_col, str) else version_col
+        versions = resolve_columns(source.columns, names)
+        side = lambda x: f"struct({', '.join(f'{x}.`{v}`' for v in versions)})"
+        newer = f"{side('source')} >= {side('target')}"
+    merging.whenMatchedUpdateAll(newer).whenNotMatchedInsertAll().execute()
 
 
 def dedupe_table(
@@ -250,7 +267,7 @@ def dedupe_table(
     Note the default of ``since`` (see :func:`lakesmith.operators.dedupe.dedupe`).
     Nothing is written when nothing would be removed.
     """
-    table = open_table(spark, path, fmt)
+    table = _target(spark, path, fmt)
     if table is None:
         raise RuntimeError(f"table not found: {path}")
     counts = dedupe_counts(table, key_cols, date_col, since).first().asDict()

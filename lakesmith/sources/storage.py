@@ -62,11 +62,28 @@ def staged_copy(df: DataFrame, path: str, staged: bool = True) -> Iterator[DataF
         files.delete(folder, True)
 
 
+def put_back(spark: SparkSession, path: str) -> None:
+    """Restore a table whose replacement broke off between setting it aside and putting in the new one.
+
+    The folder set aside holds the whole table. Several of them are a state that
+    no replacement leaves, so a person must decide.
+    """
+    files, live = _open(spark, path)
+    if files.exists(live):
+        return
+    _, aside = _open(spark, f"{path.rstrip('/')}__previous-*")
+    found = files.globStatus(aside) or []
+    if len(found) > 1:
+        raise RuntimeError(f"{path} is missing and {len(found)} earlier states lie beside it; move one back")
+    if found and not files.rename(found[0].getPath(), live):
+        raise RuntimeError(f"could not put the table back: {path}")
+
+
 def swap(spark: SparkSession, staged: str, path: str) -> None:
     """Put a completely written folder in the place of a table.
 
     The old folder is renamed first and dropped last, so a failure in between
-    leaves it next to the table. A reader that opened the old files fails rather
+    leaves it next to the table; the next write puts it back (:func:`put_back`). A reader that opened the old files fails rather
     than mix both; a table format with transactions avoids that.
     """
     files, live = _open(spark, path)

@@ -35,9 +35,10 @@ def _apply(
     partition_col: str | None,
     fmt: str,
 ) -> None:
-    """Latest row per key of the batch, merged; repeating a batch changes nothing."""
+    """Latest row per key of the batch, merged where it is not older; repeating a batch changes nothing."""
     latest = latest_per_key(batch, keys, version, tie_cols)
-    merge(latest, path, merge_keys=keys, partition_col=partition_col, fmt=fmt)
+    versions = [version, *tie_cols] if version else None
+    merge(latest, path, merge_keys=keys, partition_col=partition_col, version_col=versions, fmt=fmt)
 
 
 def incremental_upsert_stream(
@@ -54,7 +55,8 @@ def incremental_upsert_stream(
     """Process all available input in micro-batches and stop.
 
     The checkpoint takes the place of the run log's cursor. Within a batch the
-    highest version per key wins, and a later batch overwrites an earlier one.
+    highest version per key wins, and across batches as well: a batch never replaces
+    a row of a higher version. Without ``version`` a later batch overwrites an earlier one.
     A Parquet table without ``partition_col`` is rewritten by every batch; name a
     partition column, or use a table format, when the table is large.
     """

@@ -467,7 +467,7 @@ def test_stream_of_several_batches(spark, tmp_path):
     rng = random.Random(1)
     data = [(rng.randint(0, 20), i, start + dt.timedelta(minutes=i)) for i in range(200)]
     source = tmp_path / "in"
-    for i in range(4):
+    for i in (2, 0, 3, 1):  # files in no order of time
         part = spark.createDataFrame(data[i * 50 : (i + 1) * 50], schema).coalesce(1)
         part.write.mode("append").parquet(str(source))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
