@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: a longer history is reported as this many versions.
+# Fixed value: histories from here on raise the alert of a full inventory.
 HISTORY_CAP = 500
 
 
@@ -47,12 +47,13 @@ def tombstones(actions: DataFrame) -> DataFrame:
 
 
 def table_stats(
-    actions: DataFrame, tables: DataFrame | None = None, history_limit: int = HISTORY_CAP
+    actions: DataFrame, tables: DataFrame | None = None, history_limit: int | None = None
 ) -> DataFrame:
     """One row per table: version, live files, bytes, mean file size, history length.
 
     ``tables`` (column ``table``) adds rows with ``is_delta = false`` for tables
-    without a log. The history is the number of retained versions, capped.
+    without a log. The history is the number of retained
+    versions, at most ``history_limit`` if one is given.
     """
     files = (
         latest_actions(actions)
@@ -72,12 +73,15 @@ def table_stats(
     if tables is not None:
         stats = tables.select("table").distinct().join(stats, "table", "left")
     zero = F.lit(0).cast("long")
+    history = F.coalesce("history_len", zero)
+    if history_limit is not None:
+        history = F.least(history, F.lit(history_limit).cast("long"))
     stats = stats.select(
         "table",
         F.col("version").isNotNull().alias("is_delta"),
         F.col("version").cast("long").alias("version"),
         F.coalesce("num_files", zero).alias("num_files"),
-        F.least(F.coalesce("history_len", zero), F.lit(history_limit).cast("long")).alias("history_len"),
+        history.alias("history_len"),
         F.coalesce("size_bytes", zero).cast("long").alias("size_bytes"),
     )
     mean = F.when(

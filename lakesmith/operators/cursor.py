@@ -41,10 +41,11 @@ def enabled_tables(config: DataFrame, project: str | None = None) -> DataFrame:
 
 
 def table_config(config: DataFrame, table_name: str, project: str | None = None) -> DataFrame:
-    """The enabled configuration row of a table; an error when there is none."""
-    row = enabled_tables(config, project).filter(F.col("table_name") == table_name).limit(1)
-    if row.isEmpty():
-        raise ValueError(f"no enabled configuration of table {table_name}")
+    """The enabled configuration row of a table; an error when there is none, or more than one."""
+    row = enabled_tables(config, project).filter(F.col("table_name") == table_name)
+    found = row.limit(2).count()
+    if found != 1:
+        raise ValueError(f"{'several' if found else 'no'} enabled configurations of table {table_name}")
     return row
 
 

@@ -25,7 +25,7 @@ def orphan_files(
     now: dt.datetime | Column,
     *,
     retention_hours: int = RETENTION_HOURS,
-    include_untracked: bool = True,
+    include_untracked: bool = False,
 ) -> DataFrame:
     """Stored files of tables that are no longer referenced and past the retention.
 

@@ -59,7 +59,7 @@ def incremental_load(
         loaded = merge(latest, path, merge_keys=keys, partition_col=partition_col)
         peak = max_ts(batch, watermark_col).first()["max_ts"]
     except Exception as error:
-        close_run(spark, run_log, log_id, "failed", error_message=str(error)[:2000], now=now)
+        close_run(spark, run_log, log_id, "failed", error_message=str(error), now=now)
         raise
     close_run(spark, run_log, log_id, "success", extracted, loaded, watermark_to=peak, now=now)
     return loaded

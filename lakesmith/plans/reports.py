@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 from ..operators import report
 from ..operators.health import top_alerts
 
-# Alerts shown in a growth report, and characters of their text.
-SHOWN_ALERTS = 12
-ALERT_CHARS = 240
-
 
 @dataclass(frozen=True)
 class Report:
@@ -23,12 +19,12 @@ class Report:
     summary: DataFrame
 
 
-def growth_report(buckets: DataFrame, alerts: DataFrame, growth_warn_pct: float = 40.0) -> Report:
-    """Bucket lines followed by the first alerts, and the totals."""
+def growth_report(buckets: DataFrame, alerts: DataFrame, growth_warn_pct: float = 40.0, shown: int | None = None) -> Report:
+    """Bucket lines followed by all alerts or the first ``shown``, and the totals."""
     lines = report.growth_rows(buckets, growth_warn_pct).select("label", "detail")
-    shown = top_alerts(alerts, SHOWN_ALERTS).select(
+    shown = top_alerts(alerts, shown).select(
         F.concat(F.lit("Health ["), "code", F.lit("] "), "target").alias("label"),
-        F.substring("message", 1, ALERT_CHARS).alias("detail"),
+        F.col("message").alias("detail"),
     )
     return Report(lines.unionByName(shown), report.growth_summary(buckets, alerts, growth_warn_pct))
 

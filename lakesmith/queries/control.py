@@ -60,15 +60,13 @@ LOAD_WINDOW = f"""
 
 
 def enabled_tables(spark, sf):
-    """Enabled tables with a path."""
-    return cursor.list_tables(load(spark, sf, "table_config"), "p1").unionByName(
-        cursor.list_tables(load(spark, sf, "table_config"), "p2")
-    )
+    """Enabled tables with a path, of all projects."""
+    return cursor.list_tables(load(spark, sf, "table_config"))
 
 
 ENABLED_TABLES = """
     SELECT table_name, delta_bronze_path AS path FROM {table_config}
-    WHERE enabled AND project IN ('p1', 'p2') AND trim(delta_bronze_path) <> ''"""
+    WHERE enabled AND trim(delta_bronze_path) <> ''"""
 
 # Each event opens a run; all but the signups close it, some of them twice.
 _RUN_EVENTS = """
@@ -178,7 +176,7 @@ def growth_lines(spark, sf):
 
 GROWTH_LINES = """
     WITH b AS (SELECT *, 's3a://' || bucket AS target, greatest(total_bytes, 0) AS size FROM {bucket_metrics})
-    SELECT target, 'MinIO ' || target AS label,
+    SELECT target, target AS label,
            CASE WHEN size < 1024 THEN size || ' B'
                 WHEN size < 1024 ** 2 THEN printf('%.1f KiB', size / 1024.0::DOUBLE)
                 WHEN size < 1024 ** 3 THEN printf('%.1f MiB', size / (1024.0::DOUBLE ** 2))

@@ -140,14 +140,14 @@ LIVE_FILES = f"""
 def table_stats(spark, sf):
     """Statistics of every table, also of suppliers without a log."""
     named = load(spark, sf, "customer").select(F.concat(F.lit("s3a://bronze/tb_"), "c_custkey").alias("table"))
-    return commitlog.table_stats(_actions(spark, sf), named, history_limit=50)
+    return commitlog.table_stats(_actions(spark, sf), named)
 
 
 TABLE_STATS = f"""
     WITH l AS ({_LAST_ACTION}),
     f AS (SELECT tbl, count(*) FILTER (WHERE live) AS num_files,
                  coalesce(sum(size) FILTER (WHERE live), 0) AS size_bytes FROM l GROUP BY 1),
-    v AS (SELECT tbl, max(version) AS version, least(count(DISTINCT version), 50) AS history_len
+    v AS (SELECT tbl, max(version) AS version, count(DISTINCT version) AS history_len
           FROM {{commit_actions}} GROUP BY 1),
     c AS (SELECT 's3a://bronze/tb_' || c_custkey AS tbl FROM customer)
     SELECT c.tbl AS "table", v.tbl IS NOT NULL AS is_delta, version, coalesce(num_files, 0) AS num_files,
@@ -233,7 +233,7 @@ HEALTH_ALERTS = f"""
     UNION ALL
     SELECT CASE WHEN s_nationkey < 10 THEN 12 ELSE 13 END, 'warn',
            CASE WHEN s_nationkey < 10 THEN 'bucket_scan_error' ELSE 'table_scan_error' END, s_name,
-           substr(repeat(s_name, 30), 1, 320), {_NONE}
+           repeat(s_name, 30), {_NONE}
     FROM supplier"""
 
 
@@ -280,7 +280,7 @@ def orphan_files(spark, sf):
     files = load(spark, sf, "stored_files").select(
         F.col("tbl").alias("table"), "path", "size", F.col("ts").alias("last_modified")
     )
-    return maintain.orphan_files(files, commitlog.latest_actions(actions), ntz_literal(_NOW))
+    return maintain.orphan_files(files, commitlog.latest_actions(actions), ntz_literal(_NOW), include_untracked=True)
 
 
 _CUTOFF = f"TIMESTAMP '{_NOW}' - INTERVAL '168' HOUR"
