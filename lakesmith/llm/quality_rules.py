@@ -170,6 +170,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep."""
-    kept = judged(docs, read(spark, sf_dir, "labels"))
-    return kept.where("_q.kept").select(*docs.columns)
+    """The documents that the rules keep.
+
+    A filter is otherwise moved below the arrays that it is computed from, whose
+    expressions would then be evaluated again for each word. Row numbers, which
+    must be drawn before rows are dropped, keep it where it stands.
+    """
+    kept = judged(docs, read(spark, sf_dir, "labels")).withColumn("_row", F.monotonically_increasing_id())
+    return kept.where("_q.kept AND _row >= 0").select(*docs.columns)
