@@ -146,13 +146,17 @@ def quality_columns(
     q = F.col(name)
     failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
     llr = q["sum"] / F.greatest(q["n_grams"], F.lit(1))
+    # Always true. A filter on the result would otherwise be moved below the arrays that it
+    # is computed from, and their expressions evaluated again for each word; row numbers,
+    # which must be drawn before rows are dropped, keep it above.
+    drawn = F.monotonically_increasing_id() >= 0
     out = out.withColumn(
         name,
         F.struct(
             *[q[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
             failed.alias("base_failed"),
             llr.alias("llr"),
-            (~failed & (llr >= threshold)).alias("kept"),
+            (~failed & (llr >= threshold) & drawn).alias("kept"),
         ),
     )
     return out.drop(w, windows, ordered, starts, tokens, grams)
@@ -170,11 +174,6 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep.
-
-    A filter is otherwise moved below the arrays that it is computed from, whose
-    expressions would then be evaluated again for each word. Row numbers, which
-    must be drawn before rows are dropped, keep it where it stands.
-    """
-    kept = judged(docs, read(spark, sf_dir, "labels")).withColumn("_row", F.monotonically_increasing_id())
-    return kept.where("_q.kept AND _row >= 0").select(*docs.columns)
+    """The documents that the rules keep."""
+    kept = judged(docs, read(spark, sf_dir, "labels"))
+    return kept.where("_q.kept").select(*docs.columns)
