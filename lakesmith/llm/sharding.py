@@ -158,15 +158,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of ``docs`` with the shard that each row goes to."""
+    """The columns of ``docs`` with the shard that each row goes to; it takes the place of a column ``shard``."""
     placed = sharded(docs.select("doc_id", "text"))
     work = Workspace(spark, "sharding-stage")
     # A group lies in one shard unless it was split; then its doc_ids tell the pieces apart.
     at = work.keep(placed.select("doc_id", "hash", "crc", "length", "shard").distinct(), "at")
-    at = at.withColumnsRenamed({c: f"_shard_{c}" for c in ("doc_id", "hash", "crc", "length")})
+    at = at.withColumnsRenamed({c: f"_shard_{c}" for c in ("doc_id", "hash", "crc", "length", "shard")})
     own = docs.withColumns({f"_own_{n}": c for n, c in group_key(F.col("text")).items()})
     match = own["doc_id"].eqNullSafe(at["_shard_doc_id"])
     for n in ("hash", "crc", "length"):
         match &= own[f"_own_{n}"] == at[f"_shard_{n}"]
     kept = [c for c in docs.columns if c != "shard"]
-    return own.join(at, match).select(*kept, "shard")
+    return own.join(at, match).select(*kept, F.col("_shard_shard").alias("shard"))
