@@ -12,9 +12,13 @@ How it is distributed:
 * Training tasks count runs of ORDER + 1 bytes and words of their texts in numpy and
   send one array for each part of the key space; parts are summed in groups whose
   number grows with the texts. All training texts are counted whole.
-* The trie that is sent to the scoring tasks has at most NODES entries: those counted
-  at least t times, with the least t that fits, the same for all orders, so that it
-  stays a trie. What it leaves out is predicted by escapes, and chances still sum to 1.
+* The table of counts is parted by the last SUFFIX bytes of the contexts, so a part has
+  all longer contexts that a run may meet; shorter ones, which the alphabet bounds and
+  not the texts, are sent to all tasks.
+* A run's chance follows from the run alone. Those of the runs counted most often, as
+  many as fit NODES entries, are a cache in the scoring task; all others, seen or not,
+  are numbered once for each text, predicted from the whole trie of their part, and
+  joined back. So scores follow from all counts at any size.
 * Words counted often enough to fit WORDS entries are looked up in the scoring task;
   all other words meet their counts in a join, so the base is exact at any size.
 """
@@ -34,7 +38,10 @@ from .tables import Workspace, built, read
 from .words import U, Words, columns, mix
 
 ORDER = 5
+#: Entries of the scoring tasks' cache of runs.
 NODES = 2 << 20
+#: Contexts of fewer bytes are held by every task, longer ones by the part of their last SUFFIX bytes.
+SUFFIX = 3
 WORDS = 1 << 20
 #: Bytes of text for each part of the key space.
 PART_BYTES = 16 << 20
@@ -43,6 +50,8 @@ _TOKENS = ORDER + 1  # kind of the word counts; kinds 0 to ORDER are context len
 _END_WORD = U(0x7F4A7C15E0D9)
 _SLICE = 1 << 20
 _THRESHOLDS = sorted({int(round(2 ** (i / 2))) for i in range(100)})
+#: Spreads the last bytes of a context, without overflow in 63 bits.
+_SPREAD = 0x2545F4914F
 _COUNTS = "kind int, part int, keys binary, counts binary"
 
 
@@ -50,6 +59,15 @@ def _mask(order: int) -> U:
     return U((1 << (8 * (order + 1))) - 1)
 
 
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of runs of SUFFIX + 1 bytes or more; as ``_PART`` in SQL."""
+    suffix = (keys >> U(8)) & U((1 << (8 * SUFFIX)) - 1)
+    return ((suffix * U(_SPREAD)) >> U(14)) % U(parts)
+
+
+_PART = f"cast(shiftright((shiftright(run, 8) & {(1 << (8 * SUFFIX)) - 1}L) * {_SPREAD}L, 14) % {{parts}} AS int)"
+
+
 def normalized(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, each after ORDER start signs and before an end sign, and where each begins."""
     n, size = len(words.first) - 1, words.end - words.start
@@ -113,7 +131,7 @@ def _counted(parts: int):
                 keys, counts = levels[order + 1]
                 levels[order] = summed(keys & _mask(order), counts)
         for kind, (keys, counts) in levels.items():
-            part = mix(keys) % U(parts)
+            part = _part(keys, parts) if SUFFIX <= kind <= ORDER else mix(keys) % U(parts)
             order = np.argsort(part, kind="stable")
             edges = np.searchsorted(part[order], np.arange(parts + 1))
             for p in range(parts):
@@ -144,8 +162,15 @@ def _merged(group: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def _contexts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each context begins in the sorted keys, and which one each key is of."""
+    context = keys >> U(8)
+    first = np.concatenate([[True], context[1:] != context[:-1]]) if len(keys) else np.empty(0, bool)
+    return np.flatnonzero(first), np.cumsum(first) - 1
+
+
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each part: its kind, sum, and how many keys reach each threshold."""
+    """For each part of the longest runs and of the words: its sum, and how many keys reach each threshold."""
     for batch in batches:
         for row in batch.to_pylist():
             _, counts = _arrays(row["keys"], row["counts"])
@@ -159,14 +184,24 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _often(nodes: int, words: int):
+def _held(nodes: int, words: int):
+    """What tasks hold: words counted often, short contexts, and the chances of runs counted often (log10)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
             for row in rows:
                 keys, counts = _arrays(row["keys"], row["counts"])
-                keep = counts >= (words if row["kind"] == _TOKENS else nodes)
-                row |= {"keys": keys[keep].tobytes(), "counts": counts[keep].tobytes()}
+                if row["kind"] == _TOKENS:
+                    keep = counts >= words
+                    keys, counts = keys[keep], counts[keep]
+                elif row["kind"] == ORDER:
+                    # A part has all runs of a context: their sum is the context's.
+                    begin, of = _contexts(keys)
+                    value = np.log10((counts - 0.5) / np.add.reduceat(counts, begin)[of])
+                    keep = counts >= nodes
+                    keys, counts = keys[keep], value[keep].astype(np.float32)
+                row |= {"keys": keys.tobytes(), "counts": counts.tobytes()}
             yield pa.RecordBatch.from_pylist(rows, batch.schema)
 
     return run
@@ -224,41 +259,30 @@ class Lookup:
 
 
 class Trie:
-    """The pretrained contexts. ``levels[o]``: sorted keys (o context bytes, then the byte) and counts."""
+    """The pretrained contexts. ``levels[o]``: sorted keys (o context bytes, then the byte) and counts.
+
+    Values have a 0 at the end, where Lookup's -1 leads.
+    """
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
         self.symbols, self.contexts = [], []
+        closed = lambda x: np.append(x.astype(np.float64), 0.0)
         for order, (keys, counts) in enumerate(levels):
-            context = keys >> U(8)
-            begin = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.empty(0, np.int64)
-            total = np.add.reduceat(counts, begin).astype(np.float64) if len(begin) else np.empty(0)
-            kinds = np.diff(np.concatenate([begin, [len(keys)]])).astype(np.float64)
+            begin, _ = _contexts(keys)
+            total = np.add.reduceat(counts, begin) if len(begin) else np.empty(0)
+            kinds = np.diff(np.concatenate([begin, [len(keys)]])) if len(begin) else np.empty(0)
             if order and len(keys):
                 # What the next shorter context has counted of the bytes seen in this one.
                 below_keys, below = levels[order - 1]
                 shared = np.add.reduceat(below[np.searchsorted(below_keys, keys & _mask(order - 1))], begin)
             else:
                 shared = np.zeros(len(begin))
-            self.contexts.append((Lookup(context[begin], None), total, kinds, shared.astype(np.float64)))
-            self.symbols.append((Lookup(keys, None), counts.astype(np.float32)))
-        # Where the longest context has seen the byte, one look is enough.
-        keys, counts = levels[ORDER]
-        of = np.searchsorted(self.contexts[ORDER][0].keys, keys >> U(8))
-        self.direct = (
-            np.log10((counts - 0.5) / self.contexts[ORDER][1][of]).astype(np.float32) if len(keys) else np.empty(0, np.float32)
-        )
+            self.contexts.append((Lookup(keys[begin] >> U(8), None), closed(total), closed(kinds), closed(shared)))
+            self.symbols.append((Lookup(keys, None), closed(counts)))
 
     def log10(self, key: np.ndarray) -> np.ndarray:
         """log10 of the chance of the last byte of each run after its first ORDER bytes."""
-        row = self.symbols[ORDER][0](key)
-        if not len(self.direct):
-            return np.full(len(key), -math.log10(256))
-        out = np.where(row >= 0, self.direct[row], 0).astype(np.float64)
-        left = np.flatnonzero(row < 0)
-        if len(left):
-            rest, back = np.unique(key[left], return_inverse=True)
-            out[left] = self._escaped(rest)[back]
-        return out
+        return self._escaped(key)
 
     def _escaped(self, key: np.ndarray) -> np.ndarray:
         out, left = np.zeros(len(key)), np.arange(len(key))
@@ -285,18 +309,33 @@ class Trie:
 
 
 class Model:
-    """All that a scoring task holds: the trie and the counts of frequent words."""
+    """All that a scoring task holds: the chances of frequent runs and the counts of frequent words."""
 
     def __init__(self, parts: tuple):
-        levels, words, self.floor = parts
-        self.trie, self.words = Trie(levels), Lookup(*words)
+        runs_held, words, self.floor = parts
+        self.runs, self.words = Lookup(*runs_held), Lookup(*words)
+
+
+def _predicted(low):
+    """Rows (run, value): log10 of the chances of a part's runs, from all counts of the part."""
+
+    def run(asked: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        levels = list(low.value) + [(np.empty(0, U), np.empty(0, np.int64))] * (ORDER + 1 - SUFFIX)
+        for kind, keys, n in zip(counts["kind"], counts["keys"], counts["counts"]):
+            levels[kind] = _arrays(keys, n)
+        runs_asked = asked["run"].to_numpy(np.int64)
+        value = Trie(levels).log10(runs_asked.view(U)) if len(runs_asked) else np.empty(0)
+        return pd.DataFrame({"run": runs_asked, "value": value})
+
+    return run
 
 
 def _scored(held):
     fields = pa.schema(
         [
             ("rid", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-            ("base", pa.float64()), ("score", pa.float64()), ("word", pa.int64()), ("n", pa.int64()),
+            ("base", pa.float64()), ("score", pa.float64()), ("word", pa.int64()), ("run", pa.int64()),
+            ("n", pa.int64()),
         ]
     )
 
@@ -319,32 +358,41 @@ def _scored(held):
                 n_known = np.bincount(doc[known], minlength=n_docs)
                 base = np.bincount(doc, value, n_docs)
                 data, begin = normalized(words)
-                score = np.zeros(n_docs)
+                score, undecided = np.zeros(n_docs), []
                 for lo in range(0, max(0, len(data) - ORDER), _SLICE):
                     key, own = runs(data, begin, lo, lo + _SLICE)
                     place = np.flatnonzero(own)
-                    of = np.searchsorted(begin, place + lo, "right") - 1
-                    score += np.bincount(of, model.trie.log10(key[place]), n_docs)
+                    of, key = np.searchsorted(begin, place + lo, "right") - 1, key[place]
+                    row = model.runs(key)
+                    hit = row >= 0
+                    score += np.bincount(of[hit], model.runs.values[row[hit]].astype(np.float64), n_docs)
+                    undecided.append((of[~hit], key[~hit]))
                 none = [None] * n_docs
                 yield pa.RecordBatch.from_arrays(
                     [
                         rid, doc_id, pa.array(np.diff(words.first) + 1), pa.array(n_known), pa.array(base),
-                        pa.array(score), pa.array(none, pa.int64()), pa.array(none, pa.int64()),
+                        pa.array(score), *[pa.array(none, pa.int64())] * 3,
                     ],
                     schema=fields,
                 )
-                # Words whose counts come by the join, once for each text.
-                if not known.all():
-                    pairs, n = np.unique(np.stack([doc[~known].astype(U), h[~known]]), axis=1, return_counts=True)
-                    none = [None] * len(n)
+                # Words whose counts and runs whose chances come by a join, once for each text.
+                of, key = map(np.concatenate, zip(*undecided)) if undecided else (np.empty(0, np.int64), np.empty(0, U))
+                for column, doc_of, asked in (("word", doc[~known], h[~known]), ("run", of, key)):
+                    if not len(asked):
+                        continue
+                    by = np.lexsort((asked, doc_of))
+                    doc_of, asked = doc_of[by], asked[by]
+                    first = np.flatnonzero(
+                        np.concatenate([[True], (doc_of[1:] != doc_of[:-1]) | (asked[1:] != asked[:-1])])
+                    )
+                    rows = {
+                        "rid": rid.take(pa.array(doc_of[first])),
+                        column: pa.array(asked[first].view(np.int64)),
+                        "n": pa.array(np.diff(np.append(first, len(asked)))),
+                    }
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            rid.take(pa.array(pairs[0].astype(np.int64))), pa.array(none, pa.int64()),
-                            pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.float64()),
-                            pa.array(none, pa.float64()), pa.array(pairs[1].view(np.int64)), pa.array(n),
-                        ],
-                        schema=fields,
-                    )
+                        [rows[f.name] if f.name in rows else pa.nulls(len(first), f.type) for f in fields], schema=fields
+                    )
 
     return run
 
@@ -354,29 +402,35 @@ def _threshold(sizes: list, most: int) -> int:
     return next((t for t, n in zip(_THRESHOLDS, sizes) if n <= most), _THRESHOLDS[-1] + 1)
 
 
-def trained(work: Workspace, texts: DataFrame) -> tuple[tuple, DataFrame, int]:
-    """The parts of the ``Model`` of all ``texts``, the counts (word, c) of the words that it does not hold, and all words' number."""
-    spark = texts.sparkSession
+def trained(work: Workspace, texts: DataFrame) -> tuple[tuple, list, DataFrame, DataFrame, int, int]:
+    """Of all ``texts``: the parts of the ``Model``, the levels of short contexts, the counts (word, c)
+    of the words that the model does not hold, all counts, the number of their parts, and all words' number.
+    """
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(8, math.ceil(size / PART_BYTES))
     counted = texts.select("text").mapInArrow(_counted(parts), _COUNTS)
     counts = work.keep(counted.groupBy("kind", "part").applyInPandas(_merged, _COUNTS), "counts")
-    per_part = counts.mapInArrow(_sizes, "tokens boolean, sum long, reach array<long>")
+    per_part = counts.where(f"kind IN ({ORDER}, {_TOKENS})").mapInArrow(
+        _sizes, "tokens boolean, sum long, reach array<long>"
+    )
     sums = [F.sum(F.get("reach", F.lit(i))).alias(f"r{i}") for i in range(len(_THRESHOLDS))]
     found = {r["tokens"]: r for r in per_part.groupBy("tokens").agg(F.sum("sum").alias("sum"), *sums).collect()}
     reach = {k: [r[f"r{i}"] for i in range(len(_THRESHOLDS))] for k, r in found.items()}
     total, distinct = (found[True]["sum"], reach[True][0]) if True in found else (0, 0)
     least = {False: _threshold(reach.get(False, []), NODES), True: _threshold(reach.get(True, []), WORDS)}
-    held = counts.mapInArrow(_often(least[False], least[True]), _COUNTS).toArrow()
-    by_kind: dict[int, list] = {kind: [(np.empty(0, U), np.empty(0, np.int64))] for kind in range(_TOKENS + 1)}
+    few = counts.where(f"kind < {SUFFIX} OR kind IN ({ORDER}, {_TOKENS})")
+    held = few.mapInArrow(_held(least[False], least[True]), _COUNTS).toArrow()
+    by_kind: dict[int, list] = {k: [(np.empty(0, U), np.empty(0, np.int64))] for k in (*range(SUFFIX), _TOKENS)}
+    by_kind[ORDER] = [(np.empty(0, U), np.empty(0, np.float32))]
     for kind, keys, n in zip(*(held.column(c).to_pylist() for c in ("kind", "keys", "counts"))):
-        by_kind[kind].append(_arrays(keys, n))
+        by_kind[kind].append((np.frombuffer(keys, U), np.frombuffer(n, by_kind[kind][0][1].dtype)))
     del held
-    levels = [summed(*map(np.concatenate, zip(*by_kind[o]))) for o in range(ORDER + 1)]
+    low = [summed(*map(np.concatenate, zip(*by_kind[o]))) for o in range(SUFFIX)]
     words = summed(*map(np.concatenate, zip(*by_kind[_TOKENS])))
+    often = tuple(map(np.concatenate, zip(*by_kind[ORDER])))
     rest = counts.where(f"kind = {_TOKENS}").mapInArrow(_seldom(least[True]), "word long, c long")
     floor = math.log10(total + 0.5 * (distinct + 1)) if total else 0.0
-    return (levels, words, floor), rest, total
+    return (often, words, floor), low, rest, counts, parts, total
 
 
 def scored(docs: DataFrame, training: DataFrame) -> DataFrame:
@@ -387,12 +441,13 @@ def scored(docs: DataFrame, training: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     work = Workspace(spark, "lm-scoring")
-    parts, seldom, total = trained(work, training)
-    floor = parts[2]
-    run = _scored(spark.sparkContext.broadcast(parts))
-    del parts
+    model, low, seldom, counts, parts, total = trained(work, training)
+    floor = model[2]
+    run = _scored(spark.sparkContext.broadcast(model))
+    predicted = _predicted(spark.sparkContext.broadcast(low))
+    del model, low
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), "text")
-    schema = "rid long, doc_id long, n_tokens long, n_known long, base double, score double, word long, n long"
+    schema = "rid long, doc_id long, n_tokens long, n_known long, base double, score double, word long, run long, n long"
     out = work.keep(rows.mapInArrow(run, schema), "scored")
     rare = out.where("word IS NOT NULL").select("rid", "word", "n").join(seldom, "word", "left")
     c = F.coalesce("c", F.lit(0))
@@ -400,14 +455,23 @@ def scored(docs: DataFrame, training: DataFrame) -> DataFrame:
         F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more_known"),
         F.sum(F.col("n") * (F.log10(c + 0.5) - floor)).alias("more_base"),
     )
-    whole = out.where("word IS NULL").join(rare, "rid", "left")
+    asked = out.where("run IS NOT NULL").select("rid", "run", "n")
+    distinct = asked.select("run").distinct().withColumn("part", F.expr(_PART.format(parts=parts)))
+    long_contexts = counts.where(f"kind BETWEEN {SUFFIX} AND {ORDER}")
+    values = distinct.groupBy("part").cogroup(long_contexts.groupBy("part")).applyInPandas(
+        predicted, "run long, value double"
+    )
+    # Both grow with the documents: no broadcast, whatever their number here.
+    joined = asked.join(work.keep(values, "values").hint("merge"), "run")
+    joined = joined.groupBy("rid").agg(F.sum(F.col("n") * F.col("value")).alias("more_score"))
+    whole = out.where("word IS NULL AND run IS NULL").join(rare, "rid", "left").join(joined, "rid", "left")
     return whole.select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
 
 

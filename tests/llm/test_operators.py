@@ -117,6 +117,18 @@ def test_scores_are_those_of_plain_ppm(spark, odd, documents):
             assert got[doc_id] == pytest.approx(_ppm(train, text, lm_scoring.ORDER), abs=1e-3)
 
 
+def test_scores_follow_from_all_counts(spark, monkeypatch):
+    """Whatever part of the model the tasks hold: all of it, a few runs or none."""
+    train = [prose(40 + i, 30) for i in range(12)]
+    texts = [*train[:4], *[prose(70 + i, 20) for i in range(4)], "", "zzz é漢 zzz", train[0] + " qqq"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    training = spark.createDataFrame(list(enumerate(train)), "doc_id long, text string")
+    for held in (lm_scoring.NODES, 40, 0):
+        monkeypatch.setattr(lm_scoring, "NODES", held)
+        for r in lm_scoring.scored(docs, training).collect():
+            assert r.score == pytest.approx(_ppm(train, texts[r.doc_id], lm_scoring.ORDER), abs=1e-3)
+
+
 def test_chances_sum_to_one():
     trie_keys = {}
     for o in range(lm_scoring.ORDER, -1, -1):
