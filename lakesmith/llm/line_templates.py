@@ -5,7 +5,8 @@ then by its first DEPTH tokens, a token with a digit counting as a variable fiel
 A leaf's template keeps the tokens that most of its lines have at a place; the
 other places are variable fields as well. Lines recur if lines of the same masked
 tokens, or lines that fit their leaf's template, occur in MIN_DOCS documents or
-more. Recurring lines are dropped from every document, whatever their number.
+more; of lines of LONG_TOKENS tokens or more, which do not repeat by chance, in
+LONG_DOCS. Recurring lines are dropped from every document, whatever their number.
 
 DataFrame functions only. Leaves are found by hash aggregates of (leaf, document)
 pairs; only lines of leaves that enough documents reach are parsed further. A
@@ -23,8 +24,10 @@ from .tables import Workspace, read
 DEPTH = 3
 #: Lines with fewer tokens are never dropped.
 MIN_TOKENS = 3
-#: Documents in which a recurring line or template occurs at least.
-MIN_DOCS = 5
+#: Documents in which a recurring line or template occurs at least; in which a long one does.
+MIN_DOCS, LONG_DOCS = 5, 2
+#: Lines of so many tokens are long.
+LONG_TOKENS = 50
 #: A place is constant if this share of a leaf's lines agrees there.
 AGREE = 0.8
 #: A line fits if this share of the constant places agrees, and this share of places is constant.
@@ -60,9 +63,11 @@ def parsed(docs: DataFrame) -> DataFrame:
 
 
 def _documents(rows: DataFrame, *keys: str) -> DataFrame:
-    """The keys that MIN_DOCS documents or more have."""
+    """The keys that MIN_DOCS documents or more have, of long lines LONG_DOCS. ``leaf`` is among the keys; it begins with n."""
     pairs = rows.select(*keys, "_doc", "_text").distinct()
-    return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") >= MIN_DOCS).drop("_docs")
+    n = F.substring_index("leaf", " ", 1).cast("int")
+    least = F.when(n >= LONG_TOKENS, LONG_DOCS).otherwise(MIN_DOCS)
+    return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") >= least).drop("_docs")
 
 
 def recurring(work: Workspace, docs: DataFrame) -> DataFrame:

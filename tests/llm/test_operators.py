@@ -292,6 +292,18 @@ def test_recurring_lines_and_templates(spark, odd):
         assert r.key == "k" and r.cut.n_lines == (0 if r.text is None else len(r.text.split("\n")))
 
 
+def _dropped(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: list(r.cut.dropped) for r in line_templates.without_recurring(docs, "cut").collect()}
+
+
+def test_long_lines_recur_from_two_documents_on(spark):
+    long, short = prose(21, 60), "a short line of some words"
+    near = edited(prose(22, 60), 30)
+    texts = [f"{long}\n{short}\nown", f"{long}\n{short}", prose(22, 60), near, prose(23, 60), f"{prose(24, 60)}\n{prose(24, 60)}"]
+    assert _dropped(spark, texts) == {0: [0], 1: [0], 2: [0], 3: [0], 4: [], 5: []}
+
+
 def test_digest_of_what_is_left(spark, odd, documents):
     texts = {i: t for i, t, _ in documents if i is not None}
     for r in line_templates.op7_line_templates(spark, odd).where("doc_id IS NOT NULL").collect():
