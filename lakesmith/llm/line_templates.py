@@ -6,7 +6,8 @@ A leaf's template keeps the tokens that most of its lines have at a place; the
 other places are variable fields as well. Lines recur if lines of the same masked
 tokens, or lines that fit their leaf's template, occur in MIN_DOCS documents or
 more; of lines of LONG_TOKENS tokens or more, which do not repeat by chance, in
-LONG_DOCS. Recurring lines are dropped from every document, whatever their number.
+LONG_DOCS. A line that is mostly variable fields, as a row of a table of numbers, is
+compared unmasked and only as a whole. Recurring lines are dropped from every document, whatever their number.
 
 DataFrame functions only. Leaves are found by hash aggregates of (leaf, document)
 pairs; only lines of leaves that enough documents reach are parsed further. A
@@ -33,6 +34,9 @@ AGREE = 0.8
 #: A line fits if this share of the constant places agrees, and this share of places is constant.
 FITS, CONSTANT = 0.9, 0.6
 
+#: Lines with a lesser share of tokens without a digit are compared unmasked.
+LITERAL = 0.5
+
 _SPACE = r"\x20\x09-\x0D"
 
 
@@ -47,8 +51,9 @@ def _tokens(line: str) -> Column:
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """A row for each line with enough tokens: _doc, _text, _no, n, leaf, masked.
+    """A row for each line with enough tokens: _doc, _text, _no, n, leaf, masked, plain.
 
+    ``plain``: too few tokens are without a digit; ``masked`` is then the line itself.
     ``_doc`` and ``_text`` tell documents apart: the doc_id, and a hash of it and the text.
     """
     lines = docs.select(
@@ -56,10 +61,14 @@ def parsed(docs: DataFrame) -> DataFrame:
         F.xxhash64("doc_id", "text").alias("_text"),
         F.posexplode(F.split(F.col("text"), "\n")).alias("_no", "line"),
     )
-    masked = lines.select("_doc", "_text", "_no", _masked("line").alias("masked"))
+    masked = lines.withColumn("masked", _masked("line"))
     tokens = masked.withColumn("_tokens", _tokens("masked")).withColumn("n", F.size("_tokens"))
     leaf = F.concat_ws(" ", F.col("n").cast("string"), F.slice("_tokens", 1, DEPTH))
-    return tokens.where(F.col("n") >= MIN_TOKENS).select("_doc", "_text", "_no", "n", leaf.alias("leaf"), "masked")
+    literal = F.size(F.array_remove("_tokens", "<*>"))
+    plain = (F.col("masked") != F.col("line")) & (literal < LITERAL * F.col("n"))
+    return tokens.where(F.col("n") >= MIN_TOKENS).select(
+        "_doc", "_text", "_no", "n", leaf.alias("leaf"), F.when(plain, F.col("line")).otherwise(F.col("masked")).alias("masked"), plain.alias("plain")
+    )
 
 
 def _documents(rows: DataFrame, *keys: str) -> DataFrame:
@@ -73,12 +82,13 @@ def _documents(rows: DataFrame, *keys: str) -> DataFrame:
 def recurring(work: Workspace, docs: DataFrame) -> DataFrame:
     """(_doc, _text, dropped): the numbers of the lines to drop, for documents that have any."""
     lines = parsed(docs)
-    leaves = work.keep(_documents(lines.drop("masked"), "leaf"), "leaves")
+    leaves = work.keep(_documents(lines.drop("masked", "plain"), "leaf"), "leaves")
     # Leaves grow with the documents: no broadcast, whatever their number here.
     kept = work.keep(lines.join(leaves.hint("merge"), "leaf", "left_semi"), "lines")
     same = kept.withColumns({"_h": F.xxhash64("masked"), "_c": F.crc32("masked")})
-    repeated = _documents(same, "leaf", "_h", "_c")
-    exact = same.join(repeated, ["leaf", "_h", "_c"], "left_semi").select("_doc", "_text", "_no")
+    repeated = _documents(same, "leaf", "plain", "_h", "_c")
+    exact = same.join(repeated, ["leaf", "plain", "_h", "_c"], "left_semi").select("_doc", "_text", "_no")
+    kept = kept.where("NOT plain")
     places = kept.select("leaf", F.posexplode(_tokens("masked")).alias("place", "token"))
     counted = places.groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("k"))
     best = counted.groupBy("leaf", "place").agg(

@@ -304,6 +304,11 @@ def test_long_lines_recur_from_two_documents_on(spark):
     assert _dropped(spark, texts) == {0: [0], 1: [0], 2: [0], 3: [0], 4: [], 5: []}
 
 
+def test_rows_of_numbers_are_compared_unmasked(spark):
+    rows = [f"{i} {7 * i} {i * i} 0\ntotal 17 of 20 for 99\nrow {i} of the list" for i in range(10, 18)]
+    assert all(gone == [1, 2] for gone in _dropped(spark, rows).values())
+
+
 def test_digest_of_what_is_left(spark, odd, documents):
     texts = {i: t for i, t, _ in documents if i is not None}
     for r in line_templates.op7_line_templates(spark, odd).where("doc_id IS NOT NULL").collect():
