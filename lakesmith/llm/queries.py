@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op8_decontamination
+from .importance import OP11_SQL, op11_importance
 from .line_templates import op7_line_templates
 from .lm_scoring import op1_lm_scoring
 from .mixing import op9_mixing
@@ -30,7 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decontamination,
         op9_mixing,
         op10_sharding,
+        op11_importance,
     )
 }
 
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {"op11_importance": OP11_SQL}

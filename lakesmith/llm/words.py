@@ -74,15 +74,16 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a batch of texts; null texts have none.
 
+    ``space``: for each byte value, whether it parts words instead (after lower-casing).
     ``start`` and ``end`` are byte positions in ``data``; ``first[i]`` is the number of
     text i's first word and ``first[i + 1]`` the one after its last.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = True):
+    def __init__(self, texts: pa.Array, lower: bool = True, space: np.ndarray = _SPACE):
         data, self.at = raw(texts)
         self.data = _LOWER[data] if lower else data
         n = len(self.data)
-        inside = ~_SPACE[self.data]
+        inside = ~space[self.data]
         edge = np.zeros(n + 1, bool)
         edge[self.at] = True
         before, after = np.zeros(n, bool), np.zeros(n, bool)
@@ -139,3 +140,15 @@ def runs_of_text(first: np.ndarray, n: int) -> np.ndarray:
 def columns(batch: pa.RecordBatch, *names: str) -> Iterator[pa.Array]:
     for name in names:
         yield batch.column(batch.schema.get_field_index(name))
+
+
+def portions(batch: pa.RecordBatch, name: str, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices whose texts in column ``name`` have about ``size`` bytes, or one row."""
+    (texts,) = columns(batch, name)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    lo = 0
+    while lo < len(batch):
+        done = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, done + size, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
