@@ -12,6 +12,8 @@ from .line_templates import op7_line_templates
 from .lm_scoring import op1_lm_scoring
 from .mixing import op9_mixing
 from .near_duplicates import op6_near_duplicates
+from .packing import op12_packing
+from .periodic_runs import op13_periodic_runs
 from .personal_data import op4_personal_data
 from .quality_classifier import op2_quality_classifier
 from .quality_rules import op3_quality_rules
@@ -32,6 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_mixing,
         op10_sharding,
         op11_importance,
+        op12_packing,
+        op13_periodic_runs,
     )
 }
 
