@@ -1,5 +1,6 @@
 """Plain single-machine versions of the contracts, for comparison."""
 
+import hashlib
 import math
 import re
 import zlib
@@ -107,3 +108,64 @@ def edit_distance_within(item, text):
         for j, t in enumerate(text, 1):
             row[j] = min(above[j] + 1, row[j - 1] + 1, above[j - 1] + (w != t))
     return min(row)
+
+
+_ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def importance(documents, items, longest=1, least=20, percent=10):
+    """(doc_id, n_features, weight, score, rank) of each row, in its order; ties beyond the doc_id go to fewer features."""
+
+    def features(text):
+        w = _ALNUM.findall((text or "").translate(_LOWER))
+        runs = [" ".join(w[i : i + k]) for k in range(1, longest + 1) for i in range(len(w) - k + 1)]
+        return len(w), [zlib.crc32(r.encode()) % 10000 for r in runs]
+
+    texts = [features(text) for _, text, _ in documents]
+    s, t = (Counter(b for _, found in group for b in found) for group in (texts, map(features, items)))
+    s_all, t_all = sum(s.values()), sum(t.values())
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1.0) * (s_all + 10000) / ((s[b] + 1.0) * (t_all + 10000))))
+    out = []
+    for (doc_id, _, _), (_, found) in zip(documents, texts):
+        weight = sum(map(gain, found)) // len(found) if found else 0
+        h = int(hashlib.sha256(f"2024:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        out.append((doc_id, len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32)))))
+    able = [i for i, (n, _) in enumerate(texts) if n >= least]
+    able.sort(key=lambda i: (-out[i][3], out[i][0] is None, out[i][0] or 0, out[i][1]))
+    rank = {i: k for k, i in enumerate(able[: len(able) * percent // 100], 1)}
+    return [(*row, rank.get(i)) for i, row in enumerate(out)]
+
+
+def periodic_runs(found):
+    """(start, period, length) of the runs of a list of words, by comparing it with itself at every period."""
+    least = {}
+    for q in range(1, len(found) // 4 + 1):
+        same = [x == y for x, y in zip(found, found[q:])] + [False]
+        start = 0
+        for i, s in enumerate(same):
+            if not s:
+                if i > start and i - start + q >= max(6, 4 * q):
+                    least.setdefault((start, i - start + q), q)
+                start = i + 1
+    return sorted((start, q, n) for (start, n), q in least.items())
+
+
+def collapsed(doc_id, text):
+    """The row of a document."""
+    w = words(text)
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 == 0 and w:
+        g, n = h // 10, len(w)
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+    runs = periodic_runs(w)
+    gone = {i for start, q, n in runs for i in range(start + q, start + n)}
+    best = None
+    for start, q, n in runs:
+        if best is None or n * best[2] > best[1] * q:
+            best = (start, n, q)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    top = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
+    lines = "".join(f"{start},{n},{q}\n" for start, q, n in runs)
+    return doc_id, len(runs), *top, sha(lines), sha(" ".join(x for i, x in enumerate(w) if i not in gone))
