@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import Workspace, built, read
-from .words import _LOWER, Words, columns, portions
+from .words import _LOWER, _SPACE, Words, columns, portions
 
 #: Context sizes, powers of two.
 TIERS = (256, 512, 1024, 2048)
@@ -38,9 +39,9 @@ END = 1
 #: Tokens of a step.
 STEP_TOKENS = 1 << 18
 #: Tokens that are packed at a time.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 #: Bytes of text that are tokenized at a time.
-PORTION = 1 << 23
+PORTION = 1 << 21
 #: Words whose ids a worker keeps.
 CACHE = 1 << 19
 
@@ -74,13 +75,13 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         special = sorted((i, t.content) for i, t in self.model.get_added_tokens_decoder().items() if t.special)
         self.gap, self.between = special[-1]
-        self.known = pa.array([], pa.large_string())
+        self.known: dict[str, int] = {}
         self.ids, self.edges = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words one after the other, and how many each has."""
         alone = pc.match_substring(words, "<|").to_numpy(zero_copy_only=False)
-        many = words.filter(pa.array(~alone)).to_pylist()
+        many = words.filter(pa.array(~alone)).to_numpy(zero_copy_only=False).tolist()
         joined = [self.between.join(many[i : i + 500]) for i in range(0, len(many), 500)]
         found = [np.array([*e.ids, self.gap], np.int32) for e in self._run(joined)]
         flat = np.concatenate([np.zeros(0, np.int32), *found])
@@ -118,24 +119,22 @@ class Encoder:
         ends = np.insert(core, cut + 1, end[cut])
         first = words.first + np.searchsorted(cut, words.first)
         length = ends - starts
-        own = np.zeros(len(data) + 1, np.int8)
-        np.add.at(own, starts, 1)
-        np.subtract.at(own, ends, 1)
         offsets = np.concatenate([[0], np.cumsum(length)])
-        kept = data[np.cumsum(own[:-1], dtype=np.int8) > 0]
+        kept = data[~_SPACE[data]]
         spelled = pa.LargeStringArray.from_buffers(len(length), pa.py_buffer(offsets), pa.py_buffer(kept))
         distinct = spelled.dictionary_encode()
         vocabulary = distinct.dictionary
-        at = pc.index_in(vocabulary, self.known)
-        fresh = vocabulary.filter(pc.is_null(at))
+        spellings = vocabulary.to_numpy(zero_copy_only=False)
+        place = np.fromiter(map(self.known.get, spellings, repeat(-1)), np.int64, len(vocabulary))
+        fresh = vocabulary.filter(pa.array(place < 0))
         ids, n = self._encoded(fresh)
         all_ids = np.concatenate([self.ids, ids])
         edges = np.concatenate([self.edges, self.edges[-1] + np.cumsum(n)])
-        place = pc.fill_null(at, -1).to_numpy().astype(np.int64)
-        place[place < 0] = len(self.known) + np.arange(len(fresh))
+        new = np.arange(len(self.known), len(self.known) + len(fresh))
         if len(self.known) + len(fresh) <= CACHE:
-            self.known = pa.concat_arrays([self.known, fresh])
+            self.known.update(zip(spellings[place < 0], new.tolist()))
             self.ids, self.edges = all_ids, edges
+        place[place < 0] = new
         word = place[distinct.indices.to_numpy()]
         n_ids = edges[word + 1] - edges[word]
         flat = all_ids[_ragged(edges[word], n_ids)]

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import Workspace, read
-from .words import _BASE, U, Words, columns, mix, portions
+from .words import _BASE, _SPACE, U, Words, columns, mix, portions
 
 #: A run has at least so many times its period, and so many words.
 EXPONENT = 4
@@ -150,10 +150,7 @@ def _plain(words: Words) -> pa.Array:
     out = np.full(int(edges[-1]), 0x20, np.uint8)
     inside = np.ones(len(out), bool)
     inside[np.delete(edges[1:], last) - 1] = False
-    own = np.zeros(len(words.data) + 1, np.int8)
-    np.add.at(own, words.start, 1)
-    np.subtract.at(own, words.end, 1)
-    out[inside] = words.data[np.cumsum(own[:-1], dtype=np.int8) > 0]
+    out[inside] = words.data[~_SPACE[words.data]]
     return pa.StringArray.from_buffers(
         len(words.first) - 1, pa.py_buffer(edges[words.first].astype(np.int32)), pa.py_buffer(out)
     )
