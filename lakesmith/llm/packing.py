@@ -41,9 +41,9 @@ STEP_TOKENS = 1 << 18
 #: Tokens that are packed at a time.
 BLOCK = 1 << 20
 #: Bytes of text that are tokenized at a time.
-PORTION = 1 << 21
+PORTION = 1 << 20
 #: Words whose ids a worker keeps.
-CACHE = 1 << 19
+CACHE = 1 << 18
 
 _TAIL = np.zeros(256, bool)
 _TAIL[list(b".,;:!?")] = True
