@@ -44,6 +44,14 @@ INPUTS = {
                CAST(l_quantity AS BIGINT) * 1000 + l_linenumber AS size,
                l_shipdate AS last_modified
         FROM {lineitem}""",
+    # Buckets and folders below them, within each other, also inside tables and their logs.
+    "usage_targets": """
+        SELECT bucket, '' AS prefix FROM {objects}
+        UNION SELECT bucket, split_part(key, '/', 1) FROM {objects}
+        UNION SELECT bucket, split_part(key, '/', 1) || '/' || split_part(key, '/', 2) FROM {objects}
+        UNION SELECT bucket, split_part(key, '/', 1) || '/' || split_part(key, '/', 2) || '/' || split_part(key, '/', 3)
+        FROM {objects} WHERE key LIKE 'inv/%' OR key LIKE 'loads/tb_1%'
+        UNION SELECT 'bronze', 'nothing/here' FROM {region}""",
     # Log actions of one table per supplier; a commit is an order and names a file once per kind.
     "file_actions": """
         SELECT 's3a://bronze/tb_' || l_suppkey AS tbl, l_orderkey AS version,

@@ -73,6 +73,41 @@ BUCKET_USAGE = f"""
     FROM u JOIN t ON u.bucket = t.bucket"""
 
 
+def prefix_usage(spark, sf):
+    """A7 with prefixes: usage of buckets and of folders below them, an object counting for each that holds it."""
+    return inventory.prefix_usage(load(spark, sf, "objects"), load(spark, sf, "usage_targets"))
+
+
+PREFIX_USAGE = """
+    WITH h AS (SELECT t.bucket, t.prefix, o.key, o.size FROM {objects} o JOIN {usage_targets} t
+               ON o.bucket = t.bucket AND (t.prefix = '' OR starts_with(o.key, t.prefix || '/'))),
+    r AS (SELECT DISTINCT bucket, prefix, regexp_extract(key, '^(.*?)/_delta_log', 1) AS root,
+                 contains(key, 'run_id=') AS ephemeral
+          FROM h WHERE contains(key, '/_delta_log')),
+    f AS (SELECT h.*, key LIKE '%/_TMP/%' AS temp,
+                 EXISTS (SELECT 1 FROM r WHERE r.bucket = h.bucket AND r.prefix = h.prefix
+                           AND starts_with(h.key, r.root || '/')) AS under_table,
+                 EXISTS (SELECT 1 FROM r WHERE r.bucket = h.bucket AND r.prefix = h.prefix AND r.ephemeral
+                           AND starts_with(h.key, r.root || '/')) AS under_ephemeral FROM h),
+    u AS (SELECT bucket, prefix, count(*) AS object_count, sum(size) AS total_bytes,
+                 sum(size) FILTER (WHERE under_table) AS delta_bytes, sum(size) FILTER (WHERE NOT under_table) AS loose_bytes,
+                 count(*) FILTER (WHERE NOT under_table) AS loose_objects,
+                 sum(size) FILTER (WHERE under_ephemeral) AS ephemeral_bytes, sum(size) FILTER (WHERE temp) AS temp_bytes,
+                 count(*) FILTER (WHERE temp) AS temp_objects FROM f GROUP BY 1, 2),
+    c AS (SELECT bucket, prefix, count(*) AS delta_tables, count(*) FILTER (WHERE ephemeral) AS ephemeral_tables
+          FROM r GROUP BY 1, 2)
+    SELECT t.bucket, t.prefix, coalesce(object_count, 0) AS object_count,
+           CAST(coalesce(total_bytes, 0) AS BIGINT) AS total_bytes, CAST(coalesce(delta_bytes, 0) AS BIGINT) AS delta_bytes,
+           CAST(coalesce(loose_bytes, 0) AS BIGINT) AS loose_bytes, coalesce(loose_objects, 0) AS loose_objects,
+           CAST(coalesce(ephemeral_bytes, 0) AS BIGINT) AS ephemeral_bytes,
+           CAST(coalesce(temp_bytes, 0) AS BIGINT) AS temp_bytes, coalesce(temp_objects, 0) AS temp_objects,
+           CASE WHEN total_bytes > 0 THEN CAST(coalesce(loose_bytes, 0) AS DOUBLE) / CAST(total_bytes AS DOUBLE) * 100.0
+                ELSE 0.0 END AS loose_pct,
+           coalesce(delta_tables, 0) AS delta_tables, coalesce(ephemeral_tables, 0) AS ephemeral_tables
+    FROM {usage_targets} t LEFT JOIN u ON t.bucket = u.bucket AND t.prefix = u.prefix
+    LEFT JOIN c ON t.bucket = c.bucket AND t.prefix = c.prefix"""
+
+
 def loose_samples(spark, sf):
     """The first loose keys per bucket."""
     objects = load(spark, sf, "objects")
@@ -322,6 +357,7 @@ QUERIES = {
     "table_roots": (table_roots, sql(TABLE_ROOTS)),
     "object_classes": (object_classes, sql(_FLAGGED)),
     "bucket_usage": (bucket_usage, sql(BUCKET_USAGE)),
+    "prefix_usage": (prefix_usage, sql(PREFIX_USAGE)),
     "loose_samples": (loose_samples, sql(LOOSE_SAMPLES)),
     "bucket_metrics": (bucket_metrics, sql(BUCKET_METRICS)),
     "live_files": (live_files, sql(LIVE_FILES)),

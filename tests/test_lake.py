@@ -8,7 +8,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from lakesmith.operators import commitlog, cursor, health, inventory, maintain, report, targets
+from lakesmith.operators import commitlog, cursor, health, inventory, maintain, ordered, report, targets
 from lakesmith.plans.health import health_scan
 from lakesmith.plans.load import incremental_load, window_filter
 from lakesmith.plans.reports import failures_report, growth_report
@@ -97,6 +97,49 @@ def test_bucket_usage_against_brute_force(spark, seed, broadcast):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("seed, range_rows", [(4, 20), (5, 3), (6, 1)])
+def test_ranges_change_nothing(spark, seed, range_rows):
+    """However the sorted objects are cut, tables that go over a cut stay known behind it."""
+    objects = _random_objects(seed, 300)
+    expected = _usage_by_hand(objects)
+    df = spark.createDataFrame(objects, "bucket string, key string, size long")
+    whole = {tuple(r) for r in inventory.classify_objects(df).collect()}
+    assert {tuple(r) for r in inventory.classify_objects(df, range_rows=range_rows).collect()} == whole
+    usage = inventory.bucket_usage(df, range_rows=range_rows)
+    samples = inventory.loose_samples(df, range_rows=range_rows)
+    for r in inventory.with_samples(usage, samples).collect():
+        assert {k: v for k, v in r.asDict().items() if k != "bucket"} == expected[r["bucket"]]
+
+
+@pytest.mark.parametrize("seed, range_rows", [(7, None), (8, 5)])
+def test_usage_of_nested_prefixes(spark, seed, range_rows):
+    """Each target is judged as if its own objects were all there is."""
+    objects = _random_objects(seed, 300)
+    rng = random.Random(seed)
+    folders = {(b, "/".join(k.split("/")[: rng.randint(0, 4)])) for b, k, _ in objects}
+    folders = {(b, p.strip("/")) for b, p in folders} | {("bronze", ""), ("ouro", ""), ("prata", "no/such"), ("none", "")}
+    targets = spark.createDataFrame([(b, rng.choice([p, f" /{p}/ "])) for b, p in sorted(folders)], "bucket string, prefix string")
+    df = spark.createDataFrame(objects, "bucket string, key string, size long")
+    got = {(r["bucket"], r["prefix"]): r.asDict() for r in inventory.prefix_usage(df, targets, range_rows).collect()}
+    assert got.keys() == folders
+    for (bucket, prefix), row in got.items():
+        held = [o for o in objects if o[0] == bucket and (not prefix or o[1].startswith(prefix + "/"))]
+        want = _usage_by_hand(held).get(bucket, {"object_count": 0, "total_bytes": 0, "delta_tables": 0, "loose_pct": 0.0})
+        assert {k: row[k] for k in want if k != "loose_samples"} == {k: v for k, v in want.items() if k != "loose_samples"}, (bucket, prefix)
+
+
+def test_a_flat_folder_spreads_over_many_ranges(spark):
+    rows = spark.range(60_000).select(
+        F.lit("b").alias("bucket"), F.concat(F.lit("t/"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("key"), F.lit(1).alias("size")
+    )
+    log = spark.createDataFrame([("b", "t/_delta_log/0.json", 1), ("b", "u/x", 1)], "bucket string, key string, size int")
+    out = inventory.classify_objects(rows.unionByName(log), range_rows=3_000)
+    assert out.filter("under_table").count() == 60_001 and out.count() == 60_002
+    cuts = ordered.cut_points(rows.withColumnRenamed("key", "place"), "place", 3_000)
+    sizes = [r["count"] for r in rows.groupBy(ordered._range_of(F.col("key"), cuts).alias("r")).count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 9_000
+
+
 def test_listing_sees_hidden_folders(spark, tmp_path):
     for name in ["tb/_delta_log/0.json", "tb/part.parquet", "x/y/z/deep/.hidden", "top.csv"]:
         file = tmp_path / name

@@ -8,11 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakesmith.operators.dedupe import dedupe, dedupe_counts, key_duplicates
-from lakesmith.operators.inventory import bucket_usage, loose_samples
+from lakesmith.operators.inventory import bucket_usage, classify_objects, loose_samples, table_roots
 from lakesmith.operators.upsert import upsert
 from lakesmith.plans.load import in_window
 from lakesmith.queries import REGISTERED
 from lakesmith.queries.inputs import load
+from lakesmith.sinks.files import materialize
 
 from .conftest import SMALL
 
@@ -78,14 +79,31 @@ def test_counts_are_combined_before_the_shuffle(spark):
         assert "ReadSchema: struct<l_orderkey:bigint>" in text
 
 
+def _below(text, node):
+    """The lines of the first such node and of all it reads."""
+    lines = text.splitlines()
+    at = next(i for i, x in enumerate(lines) if node in x)
+    depth = re.search(r"\w", lines[at]).start()
+    end = next((i for i in range(at + 1, len(lines)) if re.search(r"\w", lines[i]).start() <= depth), len(lines))
+    return lines[at:end]
+
+
 def test_objects_are_never_exploded(spark, shuffled):
-    """The prefix join runs on folders: below the Generate there is an aggregate of the folders."""
+    """Only the places of tables are exploded to prefixes; objects are sorted in ranges."""
     objects = spark.read.parquet(_inventory(spark))
-    for df in (bucket_usage(objects), loose_samples(objects)):
+    roots = materialize(table_roots(objects), "roots")
+    for df in (bucket_usage(objects, roots), loose_samples(objects, roots), classify_objects(objects, roots)):
         text = plan(df)
-        below = text[text.index("Generate explode"):]
-        first = re.search(r"HashAggregate\(keys=\[bucket#\d+, scope#\d+", below)
-        assert first and first.start() < below.index("FileScan")
+        assert "hashpartitioning(__range#" in text and "path_prefixes" not in text
+        found = _below(text, "Generate explode")
+        assert not [x for x in found if "FileScan" in x and "key" in x]
+    assert "hashpartitioning(bucket#" not in plan(classify_objects(objects, roots)).split("Window")[0]
+
+
+def test_objects_are_summed_per_folder_before_they_are_shuffled(spark, shuffled):
+    objects = spark.read.parquet(_inventory(spark))
+    text = plan(bucket_usage(objects, materialize(table_roots(objects), "roots")))
+    assert re.search(r"HashAggregate\(keys=\[bucket#\d+, \w+#\d+\], functions=\[partial_count", text)
 
 
 def _inventory(spark):
