@@ -6,17 +6,25 @@ and again the two partial partitions of largest spread are combined, the largest
 part of one with the smallest of the other, until one is left: its parts are the
 shards.
 
-Groups are dealt to blocks; each block is differenced in one task of bounded size
-and leaves one partial partition with a small spread. Those, a row of shard
-sums for each block, are then differenced by the same rule. A group with more
-bytes than a shard's equal share cannot be balanced whole: it is split into the
-least number of pieces that can. At most one such group per shard can exist.
+No task holds more than a block of groups. Groups are taken by size, in classes
+from the largest to the smallest. A class is dealt to blocks, and the shards' sums so
+far, divided by the number of blocks, are one more partial partition in each of
+them: its parts name the shards, and the block's groups fill what earlier
+classes have left uneven. A class has enough groups of like size in each block to
+do so closely; what its blocks leave over together is the next class's to
+level. The last block is a RESERVE of the smallest class, so that the end is as even
+as if all had been one block. Only one number for each shard is handed on.
+
+A group with more bytes than a shard's equal share cannot be balanced whole: it is
+split into the least number of pieces that can. At most one such group per shard
+can exist.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,7 +39,6 @@ OVERHEAD = 16
 #: Groups that one task differences.
 BLOCK = 20_000
 
-
 def differenced(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Combine rows of part sums (each row a partial partition) until one is left.
 
@@ -64,27 +71,64 @@ def differenced(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(places[:n]), sums[root]
 
 
-def _difference_block(shards: int):
+def _difference_block(sums: list[int]):
+    """The shard of each group of a block, given what the shards have already (for this block)."""
+
     def one(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["bytes", "hash", "length", "crc", "piece"], ascending=False, ignore_index=True)
-        parts = np.zeros((len(block), shards), np.int64)
-        parts[:, 0] = block["bytes"]
+        block = block.sort_values(["bytes", "order", "item"], ascending=[False, True, True], ignore_index=True)
+        parts = np.zeros((len(block) + 1, len(sums)), np.int64)
+        parts[0] = sums
+        parts[1:, 0] = block["bytes"]
         places, _ = differenced(parts)
-        return block.assign(part=places[:, 0].astype(np.int32))
+        shard = np.empty(len(sums), np.int32)
+        shard[places[0]] = np.arange(len(sums))
+        return block[["item", "bytes"]].assign(shard=shard[places[1:, 0]])
 
     return one
 
 
-def _difference_all(shards: int):
-    def one(sums: pd.DataFrame) -> pd.DataFrame:
-        blocks, row = np.unique(sums["block"], return_inverse=True)
-        parts = np.zeros((len(blocks), shards), np.int64)
-        parts[row, sums["part"]] = sums["bytes"]
-        places, _ = differenced(parts)
-        block, part = np.repeat(blocks, shards), np.tile(np.arange(shards), len(blocks))
-        return pd.DataFrame({"block": block, "part": part, "shard": places.ravel()}).astype("int32")
+def _runs(classes: list[tuple[int, int]], block: int) -> list[tuple[int, int, int]]:
+    """(first class, last class, groups) of classes (number, groups) that are taken together: those that fit one block."""
+    out: list[tuple[int, int, int]] = []
+    for number, n in sorted(classes):
+        if out and out[-1][2] + n <= block:
+            first, _, before = out.pop()
+            out.append((first, number, before + n))
+        else:
+            out.append((number, number, n))
+    return out
 
-    return one
+
+def balanced(work: Workspace, units: DataFrame, shards: int) -> DataFrame:
+    """(item, shard) of each row of a written table ``item, bytes, order``.
+
+    The sizes of a class differ by a factor that leaves at most half a block of groups
+    for the first class, whose groups are the only ones that may near a shard's share.
+    """
+    factor = max(2.0, BLOCK / (2 * shards))
+    total = units.agg(F.sum("bytes")).first()[0] or 0
+    step = F.floor(F.log(F.lit(max(1.0, total / shards)) / F.col("bytes")) / F.log(F.lit(factor)))
+    sized = units.withColumn("class", F.greatest(step, F.lit(0)).cast("int"))
+    classes = [tuple(r) for r in sized.groupBy("class").count().collect()]  # as many as the sizes' digits
+    sums, out = np.zeros(shards, np.int64), []
+    grid = 1 << 30
+    runs = [(first, last, n, 0, grid) for first, last, n in _runs(classes, BLOCK)]
+    if runs and runs[-1][2] > BLOCK:
+        first, last, n, _, _ = runs.pop()
+        kept = grid * BLOCK // (2 * n)
+        runs += [(first, last, n, kept, grid), (first, last, BLOCK // 2, 0, kept)]
+    for number, (first, last, n, lo, hi) in enumerate(runs):
+        draw = F.pmod(F.xxhash64("order", "item", F.lit(2)), F.lit(grid))
+        own = sized.where(F.col("class").between(first, last) & (draw >= lo) & (draw < hi))
+        blocks = 1 if number == len(runs) - 1 else max(1, -(-n // BLOCK))
+        block = F.pmod(F.xxhash64("order", "item", F.lit(1)), F.lit(blocks)).cast("int")
+        dealt = own.withColumn("block", block).groupBy("block")
+        found = dealt.applyInPandas(_difference_block((sums // blocks).tolist()), "item long, bytes long, shard int")
+        out.append(work.keep(found, f"class-{number}"))
+        for shard, more in out[-1].groupBy("shard").agg(F.sum("bytes")).collect():
+            sums[shard] += more
+    none = units.select("item", F.lit(0).alias("shard")).limit(0)
+    return reduce(DataFrame.unionByName, (f.select("item", "shard") for f in out), none)
 
 
 def group_key(text: Column) -> dict[str, Column]:
@@ -116,28 +160,21 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     share = max(1, math.ceil((whole["bytes"] or 0) / shards))
     keys = KEY[:3]
     groups = rows.groupBy(*keys).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
-    large = groups.where(F.col("bytes") > share).select(
-        *keys, F.least(F.ceil(F.col("bytes") / share), F.col("n")).alias("pieces")
-    )
+    pieces = F.least(F.ceil(F.col("bytes") / share), F.col("n")).alias("pieces")
     # Fewer rows than shards: their bytes exceed a share each.
-    large = work.keep(large, "large")
-    rows = rows.join(F.broadcast(large), keys, "left")
-    spread = F.pmod(F.xxhash64("doc_id"), F.coalesce("pieces", F.lit(1)))
-    rows = work.keep(rows.select("doc_id", "size", *keys, spread.cast("int").alias("piece")), "pieced")
-    units = work.keep(rows.groupBy(*KEY).agg(F.sum("size").alias("bytes")), "units")
-    blocks = max(1, math.ceil(units.count() / BLOCK))
-    block = F.pmod(F.xxhash64(*KEY, F.lit(1)), F.lit(blocks)).cast("int")
-    schema = "hash long, crc long, length long, piece int, bytes long, block int, part int"
-    dealt = work.keep(
-        units.withColumn("block", block).groupBy("block").applyInPandas(_difference_block(shards), schema), "dealt"
-    )
-    sums = dealt.groupBy("block", "part").agg(F.sum("bytes").alias("bytes")).withColumn("_all", F.lit(0))
-    final = work.keep(
-        sums.groupBy("_all").applyInPandas(_difference_all(shards), "block int, part int, shard int"), "final"
-    )
-    placed = work.keep(dealt.join(final, ["block", "part"]).select(*KEY, "shard"), "placed")
+    large = F.broadcast(work.keep(groups.where(F.col("bytes") > share).select(*keys, "n", pieces), "large"))
+    # Copies have one size, so pieces of equal numbers of rows have equal bytes.
+    split = numbered(rows.join(large, keys), keys, [F.col("doc_id")], whole["n"], "_no")
+    piece = F.floor(F.col("_no") * F.col("pieces") / F.col("n")).cast("int").alias("piece")
+    split = split.select("doc_id", "size", *keys, piece)
+    others = rows.join(large, keys, "left_anti").select("doc_id", "size", *keys, F.lit(0).alias("piece"))
+    rows = work.keep(others.unionByName(split), "pieced")
+    units = rows.groupBy(*KEY).agg(F.sum("size").alias("bytes"))
+    units = work.keep(units.withColumn("item", F.monotonically_increasing_id()), "units")
+    items = units.select("item", "bytes", F.xxhash64(*KEY).alias("order"))
+    placed = work.keep(units.join(balanced(work, items, shards), "item").select(*KEY, "shard"), "placed")
     at = work.keep(rows.join(placed, KEY).select("doc_id", "size", *KEY, "shard"), "at")
-    work.drop("rows", "pieced", "units", "dealt", "final")
+    work.drop("rows", "pieced", "units")
     order = [F.col("doc_id"), F.col("hash"), F.col("crc")]
     out = numbered(at, ["shard"], order, whole["n"], "slot")
     return out.withColumn("text_crc32", F.when(F.col("crc") >= 0, F.col("crc")))

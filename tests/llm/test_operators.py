@@ -412,7 +412,9 @@ def test_targets_and_what_is_taken(spark, odd, documents):
 def test_rates_solve_the_constraint(spark):
     docs = [(i, " ".join(["w"] * (1 + i % 37)), f"s{i % 4}") for i in range(2000)]
     frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
-    sums = mixing.mixed(frame).groupBy("target").agg(F.sum("taken").alias("taken")).collect()
+    # Two sources share one target, so sums go by source.
+    sums = mixing.mixed(frame).groupBy("_key", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert len(sums) == 4
     for r in sums:
         assert r.taken == pytest.approx(r.target, rel=0.005)
 
@@ -462,3 +464,16 @@ def test_large_groups_are_split_and_shards_balanced(spark, monkeypatch):
     for r in rows:
         sums[r.shard] += r["size"]
     assert max(sums.values()) - min(sums.values()) < 0.01 * sum(sums.values()) / 8
+
+
+@pytest.mark.parametrize("copies", [150, 600])
+def test_a_large_group_among_many_blocks(spark, monkeypatch, copies):
+    """A group below a shard's share and above what any one block can level."""
+    monkeypatch.setattr(sharding, "BLOCK", 400)
+    docs = [(i, prose(i, 3 + i % 20)) for i in range(6000)] + [(10_000 + i, "much the same " * 4) for i in range(copies)]
+    rows = sharding.sharded(spark.createDataFrame(docs, "doc_id long, text string"), 6).collect()
+    sums = Counter()
+    for r in rows:
+        sums[r.shard] += r["size"]
+    assert len(rows) == len(docs) and len({r.shard for r in rows if r.doc_id >= 10_000}) == 1
+    assert max(sums.values()) - min(sums.values()) < 0.01 * sum(sums.values()) / 6
