@@ -37,6 +37,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _source_key() -> Column:
+    """The source as a text that tells a null apart."""
+    return F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
     """``sources`` (source, source_size) with each one's target.
 
@@ -128,8 +133,8 @@ def _rounded(cells: pd.DataFrame) -> pd.DataFrame:
     return cells[["key", "size", "n"]].assign(m=np.array(copies, np.int64))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, copies and taken, a row for each row of ``docs``.
+def mixed(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, copies and taken, a row for each row of ``docs``, and its ``carried`` columns.
 
     A null text has size 0; documents of size 0 take part with a rate of 1 and
     bring no words. A null source is a source of its own, ordered last.
@@ -137,8 +142,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     and size are interchangeable here.
     """
     work = Workspace(docs.sparkSession, "mixing")
-    key = F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
-    rows = work.keep(docs.select("doc_id", "source", key.alias("key"), n_words(F.col("text")).alias("size")), "rows")
+    rows = work.keep(docs.select("doc_id", "source", *carried, _source_key().alias("key"), n_words(F.col("text")).alias("size")), "rows")
     cells = work.keep(
         rows.groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("n")), "cells"
     )
@@ -158,10 +162,12 @@ def mixed(docs: DataFrame) -> DataFrame:
         _rounded, "key string, size long, n long, m long"
     )
     plan = work.keep(copies.join(sources.select("key", "source_size", "target"), "key"), "plan")
-    ranked = numbered(rows.select("doc_id", "key", "size"), ["key", "size"], [F.col("doc_id")], rows.count(), "_k")
+    ranked = numbered(
+        rows.select("doc_id", *carried, "key", "size"), ["key", "size"], [F.col("doc_id")], rows.count(), "_k"
+    )
     got = F.floor(F.col("m") / F.col("n")) + F.when(F.col("_k") < F.col("m") % F.col("n"), 1).otherwise(0)
     out = ranked.join(plan, ["key", "size"]).select(
-        "doc_id", "size", "source_size", "target", got.cast("long").alias("copies"), F.col("key").alias("_key")
+        "doc_id", "size", "source_size", "target", got.cast("long").alias("copies"), F.col("key").alias("_key"), *carried
     )
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
@@ -173,22 +179,33 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; the columns of ``docs``."""
+    """Each document as often as the mix takes it; the columns of ``docs``.
+
+    Rows that agree in doc_id, source and text get the copies of all of them
+    together, dealt evenly; which of them gets one more makes no difference but in other columns.
+    """
     work = Workspace(spark, "mixing-stage")
-    plan = mixed(docs.select("doc_id", "source", "text")).select("doc_id", "_key", "size", "copies")
-    same = Window.partitionBy("doc_id", "_key", "size").orderBy("copies")
-    plan = work.keep(plan.withColumn("_row", F.row_number().over(same)).where("copies > 0"), "copies")
-    plan = plan.withColumnsRenamed({"doc_id": "_doc_id", "size": "_size", "copies": "_copies"})
-    key = F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
-    own = docs.withColumns({"_mix_key": key, "_mix_size": n_words(F.col("text"))})
-    # Rows that agree in all of this get their numbers by text, so that reruns agree.
-    within = Window.partitionBy("doc_id", "_mix_key", "_mix_size").orderBy(F.xxhash64("text"))
-    own = own.withColumn("_mix_row", F.row_number().over(within))
-    match = (
-        own["doc_id"].eqNullSafe(plan["_doc_id"])
-        & (own["_mix_key"] == plan["_key"])
-        & (own["_mix_size"] == plan["_size"])
-        & (own["_mix_row"] == plan["_row"])
-    )
-    taken = own.join(plan, match).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return taken.select(*docs.columns)
+    of_text = {"_mix_hash": F.xxhash64("text"), "_mix_crc": F.coalesce(F.crc32("text"), F.lit(-1))}
+    own = docs.withColumns({**of_text, "_mix_key": _source_key()})
+    plan = mixed(own.select("doc_id", "source", "text", *of_text), tuple(of_text))
+    same = ["doc_id", "_key", *of_text]
+    plan = plan.groupBy(*same).agg(F.sum("copies").alias("_mix_copies"), F.count(F.lit(1)).alias("_mix_rows"))
+    plan = work.keep(plan.where("_mix_copies > 0").withColumnsRenamed({c: f"_plan_{c}" for c in same}), "copies")
+    match = own["doc_id"].eqNullSafe(plan["_plan_doc_id"]) & (own["_mix_key"] == plan["_plan__key"])
+    for c in of_text:
+        match &= own[c] == plan[f"_plan_{c}"]
+    met = own.join(plan, match)
+
+    def repeated(rows: DataFrame, copies: Column) -> DataFrame:
+        times = F.explode(F.sequence(F.lit(1), copies.cast("int")))
+        return rows.where(copies > 0).withColumn("_mix_copy", times).select(*docs.columns)
+
+    # Texts are shuffled once, for the join; only repeated rows are numbered as well.
+    alone = repeated(met.where("_mix_rows = 1"), F.col("_mix_copies"))
+    several = plan.where("_mix_rows > 1")
+    if several.isEmpty():
+        return alone
+    order = Window.partitionBy("doc_id", "_mix_key", *of_text).orderBy("_mix_crc")
+    numbered_rows = met.where("_mix_rows > 1").withColumn("_mix_row", F.row_number().over(order))
+    extra = F.when(F.col("_mix_row") <= F.col("_mix_copies") % F.col("_mix_rows"), 1).otherwise(0)
+    return alone.unionByName(repeated(numbered_rows, F.floor(F.col("_mix_copies") / F.col("_mix_rows")) + extra))
