@@ -28,7 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import Workspace, numbered, read
@@ -38,6 +38,8 @@ SHARDS = 40
 OVERHEAD = 16
 #: Groups that one task differences.
 BLOCK = 20_000
+#: Parts that a large group's doc_ids are dealt to before it is split.
+CELLS = 4096
 
 def differenced(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Combine rows of part sums (each row a partial partition) until one is left.
@@ -163,10 +165,14 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     pieces = F.least(F.ceil(F.col("bytes") / share), F.col("n")).alias("pieces")
     # Fewer rows than shards: their bytes exceed a share each.
     large = F.broadcast(work.keep(groups.where(F.col("bytes") > share).select(*keys, "n", pieces), "large"))
-    # Copies have one size, so pieces of equal numbers of rows have equal bytes.
-    split = numbered(rows.join(large, keys), keys, [F.col("doc_id")], whole["n"], "_no")
-    piece = F.floor(F.col("_no") * F.col("pieces") / F.col("n")).cast("int").alias("piece")
-    split = split.select("doc_id", "size", *keys, piece)
+    # Copies have one size, so pieces of equal numbers of rows have equal bytes. A doc_id stays in one piece.
+    held = rows.join(large, keys).withColumn("_cell", F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)))
+    cells = held.groupBy(*keys, "n", "pieces", "_cell").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("_rows").over(before), F.lit(0))
+    piece = F.floor(start * F.col("pieces") / F.col("n")).cast("int").alias("piece")
+    cells = work.keep(cells.select(*keys, "_cell", piece), "cells")  # CELLS for each of at most as many groups as shards
+    split = held.join(F.broadcast(cells), [*keys, "_cell"]).select("doc_id", "size", *keys, "piece")
     others = rows.join(large, keys, "left_anti").select("doc_id", "size", *keys, F.lit(0).alias("piece"))
     rows = work.keep(others.unionByName(split), "pieced")
     units = rows.groupBy(*KEY).agg(F.sum("size").alias("bytes"))

@@ -34,6 +34,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: A list of so many 64-bit ids, 64 MB as a hash table, is sent to all tasks; a longer one is shuffled.
+SENT_IDS = 4_000_000
+
+
+def listed(ids: DataFrame) -> DataFrame:
+    """A written list of 64-bit ids, marked for a broadcast if its length allows it, else for a merge join."""
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids.hint("merge")
+
+
 class Workspace:
     """Intermediate tables of one call, written to the shared folder.
 
