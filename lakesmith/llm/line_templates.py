@@ -3,16 +3,21 @@
 Each line with words is parsed down a tree of fixed depth: by its number of tokens,
 then by its first DEPTH tokens, a token with a digit counting as a variable field.
 A leaf's template keeps the tokens that most of its lines have at a place; the
-other places are variable fields as well. Lines recur if lines of the same masked
-tokens, or lines that fit their leaf's template, occur in MIN_DOCS documents or
-more; of lines of LONG_TOKENS tokens or more, which do not repeat by chance, in
-LONG_DOCS. A line that is mostly variable fields, as a row of a table of numbers, is
-compared unmasked and only as a whole. Recurring lines are dropped from every document, whatever their number.
-
-DataFrame functions only. Leaves are found by hash aggregates of (leaf, document)
-pairs; only lines of leaves that enough documents reach are parsed further. A
-template is summed per (leaf, place, token) before it is shuffled, so a line that
-a third of all documents share costs one row for each task.
+other places are variable fields as well. Lines that do not fit it go on to nodes
+below: for every SPREAD-th place they are put under the rarest token there that
+enough lines of the node have, so that a few lines of one template leave the many
+others of a busy leaf behind; each node has its template again, LEVELS deep. Lines
+recur if lines of the same masked tokens, or lines that fit their node's template,
+occur in MIN_DOCS documents or more; of lines of LONG_TOKENS tokens or more, which do
+not repeat by chance, in LONG_DOCS. A line that is mostly variable fields, as a row of
+a table of numbers, is compared unmasked and only as a whole. Recurring lines are
+dropped from every document, whatever their number.
+
+DataFrame functions only. Texts are parsed once; lines with the same masked tokens
+are one form from then on, and tokens are hashes. A node's counts are summed per
+(node, place, token) before they are shuffled and joined by the same three, so a line
+that a third of all documents share costs one row for each task, and the lines of a
+busy leaf spread over as many tasks as it has tokens.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import Workspace, read
+from .tables import Workspace, listed, read
 
 DEPTH = 3
 #: Lines with fewer tokens are never dropped.
@@ -34,6 +39,8 @@ AGREE = 0.8
 #: A line fits if this share of the constant places agrees, and this share of places is constant.
 FITS, CONSTANT = 0.9, 0.6
 
+#: Levels of nodes below a leaf, and the nodes that a line goes on to.
+LEVELS, SPREAD = 3, 3
 #: Lines with a lesser share of tokens without a digit are compared unmasked.
 LITERAL = 0.5
 
@@ -51,10 +58,11 @@ def _tokens(line: str) -> Column:
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """A row for each line with enough tokens: _doc, _text, _no, n, leaf, masked, plain.
+    """A row for each line with enough tokens: _doc, _text, _no, n, leaf, _h, _c, plain, masked.
 
     ``plain``: too few tokens are without a digit; ``masked`` is then the line itself.
     ``_doc`` and ``_text`` tell documents apart: the doc_id, and a hash of it and the text.
+    ``leaf``, ``_h`` and ``_c`` are hashes, the latter two of ``masked``.
     """
     lines = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_doc"),
@@ -63,59 +71,86 @@ def parsed(docs: DataFrame) -> DataFrame:
     )
     masked = lines.withColumn("masked", _masked("line"))
     tokens = masked.withColumn("_tokens", _tokens("masked")).withColumn("n", F.size("_tokens"))
-    leaf = F.concat_ws(" ", F.col("n").cast("string"), F.slice("_tokens", 1, DEPTH))
+    leaf = F.xxhash64("n", F.concat_ws(" ", F.slice("_tokens", 1, DEPTH)))
     literal = F.size(F.array_remove("_tokens", "<*>"))
     plain = (F.col("masked") != F.col("line")) & (literal < LITERAL * F.col("n"))
-    return tokens.where(F.col("n") >= MIN_TOKENS).select(
-        "_doc", "_text", "_no", "n", leaf.alias("leaf"), F.when(plain, F.col("line")).otherwise(F.col("masked")).alias("masked"), plain.alias("plain")
+    whole = F.when(plain, F.col("line")).otherwise(F.col("masked"))
+    lines = tokens.where(F.col("n") >= MIN_TOKENS).select(
+        "_doc", "_text", "_no", "n", leaf.alias("leaf"), plain.alias("plain"), whole.alias("masked")
     )
-
-
-def _documents(rows: DataFrame, *keys: str) -> DataFrame:
-    """The keys that MIN_DOCS documents or more have, of long lines LONG_DOCS. ``leaf`` is among the keys; it begins with n."""
-    pairs = rows.select(*keys, "_doc", "_text").distinct()
-    n = F.substring_index("leaf", " ", 1).cast("int")
-    least = F.when(n >= LONG_TOKENS, LONG_DOCS).otherwise(MIN_DOCS)
-    return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") >= least).drop("_docs")
+    return lines.withColumns({"_h": F.xxhash64("masked"), "_c": F.crc32("masked")})
+
+
+def _least(n: str = "n") -> Column:
+    """Documents in which a line of ``n`` tokens has to occur."""
+    return F.when(F.col(n) >= LONG_TOKENS, LONG_DOCS).otherwise(MIN_DOCS)
+
+
+_FORM = ["leaf", "_h", "_c"]
+
+
+def _tree(work: Workspace, lines: DataFrame) -> list[DataFrame]:
+    """Tables of (node, leaf, _h, _c, n): the forms that fit the template of a node, level by level."""
+    free = lines.where("NOT plain")
+    leaves = free.groupBy("leaf", "n").agg(F.count(F.lit(1)).alias("all"), F.min("_h").alias("lo"), F.max("_h").alias("hi"))
+    # A leaf with one form needs no template.
+    leaves = work.keep(leaves.where((F.col("all") >= _least()) & (F.col("lo") != F.col("hi"))).select("leaf", "all"), "leaves")
+    several = free.join(listed(leaves.select("leaf")), "leaf", "left_semi")
+    forms = work.keep(several.groupBy(*_FORM, "n", "masked").agg(F.count(F.lit(1)).alias("k")), "forms")
+    form = F.xxhash64(*_FORM).alias("form")
+    # The first DEPTH tokens are the leaf's own.
+    places = forms.select(form, F.posexplode(_tokens("masked")).alias("place", "token")).where(F.col("place") >= DEPTH)
+    places = work.keep(places.select("form", "place", F.xxhash64("token").alias("token")), "places")
+    nodes = forms.join(leaves, "leaf").select(F.col("leaf").alias("node"), form, "n", "k", "all")
+    found = []
+    for level in range(LEVELS + 1):
+        nodes = work.keep(nodes, f"nodes-{level}")
+        if level and nodes.isEmpty():
+            break
+        inner = nodes.where(f"n > {DEPTH}").join(places, "form")
+        key = ["node", "place", "token"]
+        counted = inner.groupBy(*key).agg(F.sum("k").alias("same"))
+        # Counts of one line can be neither constant nor a node.
+        held = inner.join(counted.where("same > 1"), key)
+        own = F.col("same") >= AGREE * F.col("all")
+        # The count before a hash of the token: the least is the rarest.
+        rare = F.shiftleft(F.least("same", F.lit((1 << 22) - 1)), 40).bitwiseOR(F.col("token").bitwiseAND((1 << 40) - 1))
+        split = ~own & (F.col("same") >= _least())
+        below = [F.min(F.when(split & (F.col("place") % SPREAD == i), rare)).alias(f"_{i}") for i in range(SPREAD)]
+        known = held.groupBy("node", "form").agg(F.count_if(own).alias("agree"), *below)
+        known = nodes.join(known, ["node", "form"], "left").withColumn("agree", F.coalesce("agree", F.lit(0)) + F.least("n", F.lit(DEPTH)))
+        known = work.keep(known, f"known-{level}")
+        most = known.groupBy("node").agg(F.max("agree").alias("most"))
+        fits = (F.col("agree") >= FITS * F.col("most")) & (F.col("agree") >= CONSTANT * F.col("n"))
+        told = known.join(most, "node").withColumn("fits", fits)
+        found.append(told.where("fits").select("node", "form"))
+        next_ = [F.when(F.col(f"_{i}").isNotNull(), F.xxhash64("node", f"_{i}")) for i in range(SPREAD)]
+        on = told.where("NOT fits").select("form", "n", "k", F.explode(F.array_compact(F.array(*next_))).alias("node"))
+        size = on.groupBy("node", "n").agg(F.sum("k").alias("all"), F.count(F.lit(1)).alias("_forms"))
+        size = size.where((F.col("_forms") > 1) & (F.col("all") >= _least())).select("node", "all")
+        nodes = on.join(size, "node").select("node", "form", "n", "k", "all")
+    named = forms.select(*_FORM, "n", form)
+    return [f.join(named, "form").select("node", *_FORM, "n") for f in found]
 
 
 def recurring(work: Workspace, docs: DataFrame) -> DataFrame:
     """(_doc, _text, dropped): the numbers of the lines to drop, for documents that have any."""
-    lines = parsed(docs)
-    leaves = work.keep(_documents(lines.drop("masked", "plain"), "leaf"), "leaves")
-    # Leaves grow with the documents: no broadcast, whatever their number here.
-    kept = work.keep(lines.join(leaves.hint("merge"), "leaf", "left_semi"), "lines")
-    same = kept.withColumns({"_h": F.xxhash64("masked"), "_c": F.crc32("masked")})
-    repeated = _documents(same, "leaf", "plain", "_h", "_c")
-    exact = same.join(repeated, ["leaf", "plain", "_h", "_c"], "left_semi").select("_doc", "_text", "_no")
-    kept = kept.where("NOT plain")
-    places = kept.select("leaf", F.posexplode(_tokens("masked")).alias("place", "token"))
-    counted = places.groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("k"))
-    best = counted.groupBy("leaf", "place").agg(
-        F.max("k").alias("top"), F.sum("k").alias("all"), F.max_by("token", F.struct("k", "token")).alias("token")
-    )
-    constant = F.when(F.col("top") >= AGREE * F.col("all"), F.col("token"))
-    template = best.groupBy("leaf").agg(
-        F.sort_array(F.collect_list(F.struct("place", constant.alias("token")))).alias("_t")
-    )
-    template = template.select("leaf", F.col("_t.token").alias("_template"))
-    fits = kept.join(template, "leaf").withColumn("_tokens", _tokens("masked"))
-    fits = fits.withColumns(
-        {
-            "_fixed": F.size(F.filter("_template", lambda t: t.isNotNull())),
-            "_equal": F.aggregate(
-                F.zip_with("_tokens", "_template", lambda a, t: F.when(a == t, 1).otherwise(0)),
-                F.lit(0),
-                lambda s, x: s + x,
-            ),
-        }
-    )
-    fits = fits.where((F.col("_equal") >= FITS * F.col("_fixed")) & (F.col("_fixed") >= CONSTANT * F.col("n")))
-    fits = work.keep(fits.select("_doc", "_text", "_no", "leaf"), "fits")
-    general = fits.join(_documents(fits, "leaf"), "leaf", "left_semi").select("_doc", "_text", "_no")
-    gone = exact.unionByName(general).distinct()
+    lines = work.keep(parsed(docs), "lines")
+    narrow = lines.drop("masked")
+    pairs = narrow.select(*_FORM, "n", "plain", "_doc", "_text").distinct()
+    repeated = pairs.groupBy(*_FORM, "n", "plain").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") >= _least())
+    exact = repeated.select(*_FORM, "plain")
+    general = None
+    for fits in _tree(work, lines):
+        general = fits if general is None else general.unionByName(fits)
+    general = work.keep(general, "fits")
+    reached = general.join(narrow.where("NOT plain").select(*_FORM, "_doc", "_text"), _FORM)
+    reached = reached.select("node", "n", "_doc", "_text").distinct().groupBy("node", "n").agg(F.count(F.lit(1)).alias("_docs"))
+    wide = general.join(reached.where(F.col("_docs") >= _least()).select("node"), "node", "left_semi")
+    gone = exact.unionByName(wide.select(*_FORM, F.lit(False).alias("plain"))).distinct()
+    gone = narrow.join(gone, [*_FORM, "plain"], "left_semi")
     return work.keep(
-        gone.groupBy("_doc", "_text").agg(F.sort_array(F.collect_list("_no")).alias("dropped")), "dropped"
+        gone.groupBy("_doc", "_text").agg(F.sort_array(F.collect_set("_no")).alias("dropped")), "dropped"
     )
 
 
@@ -127,7 +162,9 @@ def without_recurring(docs: DataFrame, name: str = "_lines") -> DataFrame:
     """
     work = Workspace(docs.sparkSession, "line-templates")
     gone = recurring(work, docs).withColumnsRenamed({c: f"{name}{c}" for c in ("_doc", "_text", "dropped")})
-    work.drop("leaves", "lines", "fits")
+    work.drop("lines", "fits", "leaves", "forms", "places")
+    for level in range(LEVELS + 1):
+        work.drop(f"nodes-{level}", f"known-{level}")
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
     keyed = docs.withColumns({f"{name}_k": F.xxhash64("doc_id", "text"), f"{name}_d": doc})
     match = (F.col(f"{name}_k") == F.col(f"{name}_text")) & (F.col(f"{name}_d") == F.col(f"{name}_doc"))

@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -169,3 +171,59 @@ def collapsed(doc_id, text):
     top = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
     lines = "".join(f"{start},{n},{q}\n" for start, q, n in runs)
     return doc_id, len(runs), *top, sha(lines), sha(" ".join(x for i, x in enumerate(w) if i not in gone))
+
+
+def recurring_lines(texts, docs=5, long_docs=2):
+    """Per text the numbers of the lines that go: whole recurring lines and those of a node's template."""
+    split = lambda x: [t for t in re.split("[ \\t-\\r]+", x) if t]
+    lines = []
+    for doc, text in enumerate(texts):
+        for no, line in enumerate((text or "").split("\n") if text is not None else []):
+            masked = WORD.sub(lambda w: "<*>" if re.search("[0-9]", w[0]) else w[0], line)
+            tokens = split(masked)
+            if len(tokens) < 3:
+                continue
+            plain = masked != line and 2 * sum(t != "<*>" for t in tokens) < len(tokens)
+            lines.append((doc, no, line if plain else masked, plain, tuple(tokens)))
+    least = lambda n: long_docs if n >= 50 else docs
+    gone, by_form, leaves = set(), defaultdict(list), defaultdict(set)
+    for doc, no, whole, plain, tokens in lines:
+        by_form[whole, plain, tokens].append((doc, no))
+        if not plain:
+            leaves[len(tokens), tokens[:3]].add((whole, plain, tokens))
+    for (_, _, tokens), at in by_form.items():
+        if len({d for d, _ in at}) >= least(len(tokens)):
+            gone.update(at)
+
+    def visit(node, n, level):
+        total = sum(len(by_form[f]) for f in node)
+        if len(node) < 2 or total < least(n):
+            return
+        same = Counter()
+        for f in node:
+            for p in range(3, n):
+                same[p, f[2][p]] += len(by_form[f])
+        agree = {f: 3 + sum(1 < same[p, f[2][p]] >= 0.8 * total for p in range(3, n)) for f in node}
+        most = max(agree.values())
+        fits = [f for f in node if agree[f] >= 0.9 * most and agree[f] >= 0.6 * n]
+        at = [x for f in fits for x in by_form[f]]
+        if len({d for d, _ in at}) >= least(n):
+            gone.update(at)
+        if level == 3:
+            return
+        below = defaultdict(list)
+        for f in set(node) - set(fits):
+            for i in range(3):
+                rare = [
+                    (k, xxhash.xxh64(f[2][p].encode(), 42).intdigest() & ((1 << 40) - 1), f[2][p])
+                    for p in range(3, n)
+                    if p % 3 == i and (k := same[p, f[2][p]]) >= least(n) and k < 0.8 * total
+                ]
+                if rare:
+                    below[min(rare)].append(f)
+        for key, forms in below.items():
+            visit(list(dict.fromkeys(forms)), n, level + 1)
+
+    for (n, _), node in leaves.items():
+        visit(list(node), n, 0)
+    return [sorted(no for d, no in gone if d == doc) for doc in range(len(texts))]

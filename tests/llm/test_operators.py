@@ -28,7 +28,7 @@ from lakesmith.llm.queries import QUERIES
 from lakesmith.llm.words import Words, chained
 
 from . import brute
-from .conftest import ITEM, edited, prose, run
+from .conftest import ITEM, WORDS, edited, prose, run
 
 
 def same_multiset(mine, theirs):
@@ -309,6 +309,34 @@ def test_rows_of_numbers_are_compared_unmasked(spark):
     assert all(gone == [1, 2] for gone in _dropped(spark, rows).values())
 
 
+def test_templates_of_a_busy_leaf(spark):
+    """Six lines of one template go, whatever else has their length and first words."""
+    rng = random.Random(70)
+    names = [f"{a} {b}" for a in ("anna", "bert", "cleo") for b in ("lund", "moss")]
+    words = WORDS + ["".join(rng.choices("abdeil", k=2)) for _ in range(30)]
+    six = [f"this page was last changed by {x} of the crew" for x in names]
+    for others in (0, 3000):
+        busy = ["this page was " + " ".join(rng.choices(words, k=8)) for _ in range(others)]
+        texts = [f"{x}\nown {prose(700 + i, 3)}" for i, x in enumerate(six)] + busy
+        gone = _dropped(spark, texts)
+        assert [gone[i] for i in range(6)] == [[0]] * 6
+        assert sum(len(gone[i]) for i in range(6, len(texts))) <= 0.002 * others
+        assert gone == dict(enumerate(brute.recurring_lines(texts)))
+
+
+def test_lines_equal_a_plain_version(spark, documents):
+    rng = random.Random(71)
+    made = []
+    for _ in range(400):
+        lines = []
+        for _ in range(rng.randint(0, 6)):
+            first = rng.choice(["see also the", "read more of", "on 12 may"])
+            lines.append(first + " " + " ".join(rng.choices(WORDS[:7], k=rng.choice([0, 1, 3, 5, 6]))) + rng.choice(["", " 4", "\t"]))
+        made.append("\n".join(lines))
+    made += [t for i, t, _ in documents if i is not None]
+    assert _dropped(spark, made) == dict(enumerate(brute.recurring_lines(made)))
+
+
 def test_digest_of_what_is_left(spark, odd, documents):
     texts = {i: t for i, t, _ in documents if i is not None}
     for r in line_templates.op7_line_templates(spark, odd).where("doc_id IS NOT NULL").collect():
