@@ -58,7 +58,7 @@ def _tokens(line: str) -> Column:
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """A row for each line with enough tokens: _doc, _text, _no, n, leaf, _h, _c, plain, masked.
+    """A row for each line: _doc, _text, _no, n, leaf, _h, _c, plain, masked.
 
     ``plain``: too few tokens are without a digit; ``masked`` is then the line itself.
     ``_doc`` and ``_text`` tell documents apart: the doc_id, and a hash of it and the text.
@@ -75,7 +75,7 @@ def parsed(docs: DataFrame) -> DataFrame:
     literal = F.size(F.array_remove("_tokens", "<*>"))
     plain = (F.col("masked") != F.col("line")) & (literal < LITERAL * F.col("n"))
     whole = F.when(plain, F.col("line")).otherwise(F.col("masked"))
-    lines = tokens.where(F.col("n") >= MIN_TOKENS).select(
+    lines = tokens.select(
         "_doc", "_text", "_no", "n", leaf.alias("leaf"), plain.alias("plain"), whole.alias("masked")
     )
     return lines.withColumns({"_h": F.xxhash64("masked"), "_c": F.crc32("masked")})
@@ -135,7 +135,8 @@ def _tree(work: Workspace, lines: DataFrame) -> list[DataFrame]:
 
 def recurring(work: Workspace, docs: DataFrame) -> DataFrame:
     """(_doc, _text, dropped): the numbers of the lines to drop, for documents that have any."""
-    lines = work.keep(parsed(docs), "lines")
+    # A filter before the table is written would mask and split each line a second time.
+    lines = work.keep(parsed(docs), "lines").where(F.col("n") >= MIN_TOKENS)
     narrow = lines.drop("masked")
     pairs = narrow.select(*_FORM, "n", "plain", "_doc", "_text").distinct()
     repeated = pairs.groupBy(*_FORM, "n", "plain").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") >= _least())
