@@ -269,6 +269,31 @@ def test_followers_that_match_each_other_only(spark, tmp_path):
     same_multiset(run(near_duplicates.op6_near_duplicates, spark, str(tmp_path)), brute.near_components(docs))
 
 
+def test_pairs_beside_a_common_passage(spark, tmp_path):
+    """Texts that share a passage which fills their bands, in pairs just over the limit; some are much longer."""
+    rng = random.Random(3)
+    made = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n)]
+    passage, docs = made(150), []
+    for i in range(150):
+        common = passage + made(29 if i % 3 else 150)
+        docs += [(2 * i, " ".join(common + made(22))), (2 * i + 1, " ".join(common + made(22)))]
+    docs.append((1000, " ".join(passage)))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = run(near_duplicates.op6_near_duplicates, spark, str(tmp_path))
+    same_multiset(got, brute.near_components([(d, t, None) for d, t in docs]))
+    assert sum(r[3] for r in got) == 151
+
+
+def test_keys_are_those_of_exceeding_registers():
+    lead = np.full((3, near_duplicates.REGISTERS), 5, np.uint16)
+    row = lead.copy()
+    row[1, :4] = 6
+    row[2] = 7
+    keys = near_duplicates._keys(np.array([9, 9, 9]), row, lead)
+    assert (keys != 0).sum(1).tolist() == [0, 4, near_duplicates.REGAINED]
+
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(2)
     x = np.unique(rng.integers(0, 1 << 63, 4000).astype(np.uint64))
