@@ -294,6 +294,33 @@ def test_keys_are_those_of_exceeding_registers():
 
 
 
+def test_marks_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for n in (1, 40, 400):
+        a, b = (np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for _ in range(2))
+        bits = int.from_bytes((near_duplicates.marks(a) ^ near_duplicates.marks(b)).tobytes(), "little").bit_count()
+        assert 0 < bits <= len(np.setxor1d(a, b))
+        assert (near_duplicates.marks(a, b) == (near_duplicates.marks(a) ^ near_duplicates.marks(b))).all()
+
+
+def test_followers_meet_once(spark, tmp_path):
+    """Under two leaders, in any round; those whose marks differ by more than a link allows do not meet."""
+    base, other = list(range(1000, 1030)), list(range(2000, 2030))
+    rows = [
+        (lead, b, 100, d, [], near_duplicates.marks(np.array(d, np.uint64)).tolist())
+        for lead in (1, 2)
+        for b, d in ((10, base), (11, base + [5]), (12, base[:15] + other), (13, base + [6, 7]))
+    ]
+    schema = "a long, b long, n long, more array<long>, less array<long>, marks array<long>"
+    followers = spark.createDataFrame(rows, schema)
+    labels = spark.createDataFrame([], "node long, label long")
+    linker = object.__new__(near_duplicates._Linker)
+    met = linker.meeting(followers, labels, None, 1)
+    assert sorted((r.x, r.y) for r in met.collect()) == [(10, 11), (10, 13), (11, 13)]
+    assert sorted((r.a, r.b) for r in linker.alike(followers, met).collect()) == [(10, 11), (10, 13), (11, 13)]
+    assert linker.meeting(followers, labels, met, 2).isEmpty()
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(2)
     x = np.unique(rng.integers(0, 1 << 63, 4000).astype(np.uint64))
